@@ -1,7 +1,8 @@
 """Template residue and error-page text by positive-unlabelled naive Bayes with expectation-maximisation.
 
 Passages (lines and sentences) are scored, records decided by their passages. Trusted positives are passages of
-short records delivered with an error status, on two hosts at least, that are not common elsewhere, and passages with a filler cue or a
+short records delivered with an error status, on two hosts and in ``usual`` of these records at least, that are not
+common elsewhere, and passages with a filler cue or a
 placeholder standing alone; all others are unlabelled. Words, word pairs and line ends are features, hashed into
 a fixed number of buckets, so that the model has a proven size and may be broadcast. Placeholders inside a
 sentence are judged by their neighbouring words, against trusted sentences that write about templates.
@@ -108,16 +109,20 @@ class NaiveBayes:
 
 
 def _sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
-    n = df.count()
-    return df if n <= bound else df.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    """About ``bound`` rows at most, chosen in proportion to ``n`` (common passages always are); ``n`` then stands for all."""
+    total = df.agg(F.sum("n")).first()[0] or 1.0
+    share = F.least(F.lit(1.0), F.col("n") * (bound / total))
+    kept = df.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1_000_000)) < share * 1_000_000)
+    return kept.withColumn("n", F.col("n") / share)
 
 
-def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2.0, prior: float = 0.001, sample: int = 200_000) -> DataFrame:
+def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2.0, usual: float = 0.002, prior: float = 0.001, sample: int = 200_000) -> DataFrame:
     """(doc, size) of the texts in which a passage is an error message, a notice, filler or an unfilled slot."""
     trusted = (F.col("status") >= 400) & (F.col("size") <= trusted_size)
     each = passages(texts)
     one = each.groupBy("passage").agg(F.count("*").alias("n"), F.sum(trusted.cast("int")).alias("t"), F.min(F.when(trusted, F.col("host"))).alias("h1"), F.max(F.when(trusted, F.col("host"))).alias("h2"))
-    seed = (F.col("t") > 1) & (F.col("h1") != F.col("h2")) & (F.col("n") - F.col("t") <= common * F.col("t")) | F.col("passage").rlike(FILLER)
+    least = max(2.0, usual * texts.where(trusted).count())
+    seed = (F.col("t") >= least) & (F.col("h1") != F.col("h2")) & (F.col("n") - F.col("t") <= common * F.col("t")) | F.col("passage").rlike(FILLER)
     slot = F.col("passage").contains("⟦⟧")
     known = cut(one.select("passage", F.xxhash64("passage").alias("pid"), "n", seed.alias("seed"), slot.alias("slot"), features(F.col("passage")).alias("features")), "passages")
 
