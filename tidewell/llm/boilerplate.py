@@ -43,9 +43,9 @@ CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
 def line_counts(texts: DataFrame) -> DataFrame:
     """(doc, size, seen): for every line, the share of the host's pages and the number of hosts that have it."""
-    plain = F.regexp_replace(F.regexp_replace(F.col("text"), r"[0-9]+([.,][0-9]+)*", "0"), brand_pattern(F.col("host")), F.lit("@"))
+    plain = F.regexp_replace(F.regexp_replace(F.col("text"), r"[0-9]+(?:[.,][0-9]+)*", "0"), brand_pattern(F.col("host")), F.lit("@"))
     lines = texts.select(*DOC, "page", F.xxhash64("host").alias("h"), F.posexplode(F.split(plain, "\n")).alias("line_no", "l"))
-    lines = lines.select(*DOC, "page", "h", "line_no", F.trim(F.regexp_replace("l", r"[\s ]+", " ")).alias("l")).where("l <> ''").select(*DOC, "page", "h", "line_no", F.xxhash64("l").alias("line"))
+    lines = lines.select(*DOC, "page", "h", "line_no", F.trim(F.regexp_replace("l", r"[\s ]{2,}|[^\S ]", " ")).alias("l")).where("l <> ''").select(*DOC, "page", "h", "line_no", F.xxhash64("l").alias("line"))
     lines = cut(lines, "lines")
     once = lines.groupBy("h", "line").agg(F.countDistinct("page").alias("pages")).where("pages > 1")
     hosts = lines.groupBy("line").agg(F.approx_count_distinct("h", 0.02).alias("hosts")).where("hosts > 1")

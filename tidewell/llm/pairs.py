@@ -15,6 +15,7 @@ give one row; texts are read whole.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 import zlib
@@ -53,7 +54,7 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтАВЕКМНОРСТХ
 def plain(text: str | None) -> str:
     """Unicode forms, tags, entities, invisible characters and look-alike letters made even."""
     s = unicodedata.normalize("NFKC", text or "")
-    s = re.sub(r"<[^<>]{0,200}>", " ", re.sub(r"&(#\d+|#x[0-9a-f]+|\w+);", " ", s))
+    s = re.sub(r"<[^<>]{0,200}>", " ", html.unescape(s))
     return re.sub(r"[​-‏⁠﻿­]", "", s).translate(LOOKALIKES)
 
 
@@ -164,7 +165,7 @@ def defects(pairs: DataFrame, labelled: DataFrame, sample: int = 4000) -> DataFr
 
     def one(q: str | None, a: str | None, times: int, wording: int, ends: int, inside: int) -> str | None:
         content = re.sub(r"[\W_]+", "", LEADS.sub("", plain(a)))
-        if not content or content.casefold() in ("null", "none", "nan"):
+        if not content or content.casefold() in ("null", "none", "nan") or plain(a).strip().casefold() == "n/a":
             return "empty"
         if q and _is_copy(q, a):
             return "copy"

@@ -40,7 +40,8 @@ BUCKETS = 1 << 18
 
 def passages(texts: DataFrame) -> DataFrame:
     """(doc, size, status, host, passage): lines cut at sentence ends; digits become 0, slots one mark, the host's name another."""
-    flat = F.regexp_replace(F.regexp_replace("text", SLOT, " ⟦⟧ "), r"[0-9]+([.,][0-9]+)*", "0")
+    slots = F.when(F.col("text").rlike(r"[{}\[\]@%<]|__"), F.regexp_replace("text", SLOT, " ⟦⟧ ")).otherwise(F.col("text"))
+    flat = F.regexp_replace(slots, r"[0-9]+(?:[.,][0-9]+)*", "0")
     flat = F.regexp_replace(flat, brand_pattern(F.col("host")), F.lit("@"))
     parts = F.split(flat, r"[\r\n]+|(?<=[.!?。])\s+")
     return texts.select(*DOC, "status", "host", F.explode(parts).alias("p")).select(*DOC, "status", "host", F.trim(F.lower(F.regexp_replace("p", r"[\s ]+", " "))).alias("passage")).where("passage <> ''")
@@ -49,7 +50,7 @@ def passages(texts: DataFrame) -> DataFrame:
 def brand_pattern(host: Column) -> Column:
     """Matches the host's own name however it is spaced or cased."""
     label = F.regexp_replace(F.substring_index(host, ".", 1), r"[^\p{L}\p{N}]+", "")
-    return F.when(F.length(label) < 3, F.lit(r"(?!)")).otherwise(F.concat(F.lit(r"(?iu)\b"), F.regexp_replace(label, r"(.)(?=.)", r"$1[ -]?"), F.lit(r"\b")))
+    return F.when(F.length(label) < 3, F.lit(r"(?!)")).otherwise(F.concat(F.lit(r"(?i)\b"), F.regexp_replace(label, r"(.)(?=.)", r"$1[ -]?"), F.lit(r"\b")))
 
 
 def features(passage: Column) -> Column:
@@ -119,7 +120,7 @@ def _sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
 def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2.0, usual: float = 0.002, prior: float = 0.001, sample: int = 200_000) -> DataFrame:
     """(doc, size) of the texts in which a passage is an error message, a notice, filler or an unfilled slot."""
     trusted = (F.col("status") >= 400) & (F.col("size") <= trusted_size)
-    each = passages(texts)
+    each = cut(passages(texts), "each")
     one = each.groupBy("passage").agg(F.count("*").alias("n"), F.sum(trusted.cast("int")).alias("t"), F.min(F.when(trusted, F.col("host"))).alias("h1"), F.max(F.when(trusted, F.col("host"))).alias("h2"))
     least = max(2.0, usual * texts.where(trusted).count())
     seed = (F.col("t") >= least) & (F.col("h1") != F.col("h2")) & (F.col("n") - F.col("t") <= common * F.col("t")) | F.col("passage").rlike(FILLER)
