@@ -1,5 +1,5 @@
 """Registered queries, each with its SQL, by theme."""
 
-from tidewell.plans import snapshots
+from tidewell.plans import etl, snapshots
 
-MODULES = [snapshots]
+MODULES = [snapshots, etl]
