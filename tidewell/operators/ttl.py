@@ -1,0 +1,53 @@
+"""Replay of a keyed cache with a time to live.
+
+The first request of a key is a miss and stores; a request is a hit while the stored copy is no older than the time
+to live, and a miss stores anew (a hit does not refresh). Requests of a key are folded in time order. Hits cannot
+be told without order, but a key's requests can be cut where the gap before a request exceeds the time to live:
+such a request is a miss whatever came before, so the pieces are folded apart and a hot key is many small groups.
+A piece is streamed in order through its task in Arrow batches, never held whole.
+
+Defined results: a null key is a key of its own; null times are left out; equal times are taken in id order; a time
+to live of null or below 0 makes every request a miss; an age of exactly the time to live is a hit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def ttl_replay(requests: DataFrame, *, key: str, time: str, ttl: str, order: str) -> DataFrame:
+    """(key, id, time, hit, age): ``requests`` has key, time and time to live in seconds, and an order column."""
+    r = requests.select(F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("k"), F.col(order).cast("string").alias("id"), F.col(time).cast("double").alias("t"), F.coalesce(F.col(ttl).cast("double"), F.lit(-1.0)).alias("ttl")).where("t is not null")
+    # The gap before each request, with the hottest keys' order taken in hourly cells first.
+    cell = F.floor(F.col("t") / 3600)
+    last = r.groupBy("k", cell.alias("c")).agg(F.max("t").alias("last"))
+    carried = last.select("k", "c", F.lag("last").over(Window.partitionBy("k").orderBy("c")).alias("cell_before"))
+    inside = Window.partitionBy("k", "c").orderBy("t", "id")
+    seen = r.withColumn("c", cell).withColumn("prev", F.lag("t").over(inside)).join(carried, ["k", "c"])
+    gap = F.col("t") - F.coalesce("prev", "cell_before")
+    fresh = (gap.isNull() | (gap > F.col("ttl"))).cast("int")
+    # Pieces are numbered per cell: the count of fresh starts inside the cell, after those of earlier cells.
+    cells = seen.groupBy("k", "c").agg(F.sum(fresh).alias("n")).select("k", "c", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    piece = F.sum(fresh).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    cutted = seen.withColumn("piece", piece).join(cells, ["k", "c"]).select("k", "id", "t", "ttl", (F.col("base") + F.col("piece")).alias("piece"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, stored = None, 0.0
+        for b in batches:
+            hits, ages = [], []
+            for k, p, t, ttl_s in zip(b.k, b.piece, b.t, b.ttl):
+                if state != (k, p):
+                    state, stored, hit, age = (k, p), t, False, None
+                else:
+                    age = t - stored
+                    hit = age <= ttl_s
+                    stored = stored if hit else t
+                hits.append(hit), ages.append(age)
+            yield pd.DataFrame({"k": b.k, "id": b.id, "t": b.t, "hit": hits, "age": pd.Series(ages, dtype="float64", index=b.index)})
+
+    ordered = cutted.repartition("k", "piece").sortWithinPartitions("k", "piece", "t", "id")
+    return ordered.mapInPandas(fold, "k string, id string, t double, hit boolean, age double")

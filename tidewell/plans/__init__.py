@@ -1,5 +1,5 @@
 """Registered queries, each with its SQL, by theme."""
 
-from tidewell.plans import etl, snapshots
+from tidewell.plans import etl, joins, snapshots
 
-MODULES = [snapshots, etl]
+MODULES = [snapshots, etl, joins]
