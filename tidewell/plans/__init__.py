@@ -1,5 +1,5 @@
 """Registered queries, each with its SQL, by theme."""
 
-from tidewell.plans import etl, joins, snapshots
+from tidewell.plans import etl, joins, snapshots, stats
 
-MODULES = [snapshots, etl, joins]
+MODULES = [snapshots, etl, joins, stats]
