@@ -8,7 +8,8 @@ inside a shard, whole passes over all its records come first and a seeded choice
 Only one row per source and shard reaches the driver (a shard holds about ``per_shard`` records).
 
 Defined results: records of sources without target are used 0 times; targets without records get nothing, which the
-report shows; null sources are the source ""; records without tokens are used 0 times; without ``total`` the mix is
+report shows; null sources are the source ""; records without tokens or id are used 0 times;
+rows that repeat an id are one record, the longest; without ``total`` the mix is
 the largest in which every source that has tokens can hold its share; an empty table gives no rows.
 """
 
@@ -42,7 +43,8 @@ def mix(records: DataFrame, targets: DataFrame, *, total: int | None = None, blo
     """(id, source, tokens, uses). ``records``: id, source, tokens; ``targets``: source, target_share, max_repeats."""
     spark = records.sparkSession
     goals = {r["source"]: (max(0.0, r["target_share"] or 0.0), max(0, r["max_repeats"] or 0)) for r in targets.collect()}  # a fixed small table
-    known = cut(records.select("id", F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source"), F.coalesce("tokens", F.lit(0)).alias("tokens")), "sized")
+    flat = records.select("id", F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source")).alias("r"))
+    known = cut(flat.groupBy("id").agg(F.max("r").alias("r")).select("id", "r.source", "r.tokens"), "sized")
     sums = {r["source"]: (r["n"], r["t"]) for r in known.where(F.col("source").isin(list(goals))).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     have = [s for s in sorted(goals) if s in sums and sums[s][1] > 0 and goals[s][0] > 0 and goals[s][1] > 0]
     if not have:
@@ -54,7 +56,7 @@ def mix(records: DataFrame, targets: DataFrame, *, total: int | None = None, blo
     quota = dict(zip(have, sainte_lague([goals[s][0] for s in have], min(blocks, total), [int(sums[s][1] * goals[s][1] / size) + 1 for s in have])))
 
     count = F.create_map(*[v for s in have for v in (F.lit(s), F.lit(max(1, sums[s][0] // per_shard)))])[F.col("source")]
-    dealt = known.where(F.col("source").isin(have) & (F.col("tokens") > 0)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), count))
+    dealt = known.where(F.col("source").isin(have) & (F.col("tokens") > 0) & F.col("id").isNotNull()).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), count))
     shards: dict[str, list] = {}
     for r in dealt.groupBy("source", "shard").agg(F.sum("tokens").alias("t")).orderBy("source", "shard").collect():
         shards.setdefault(r["source"], []).append((r["shard"], r["t"]))

@@ -8,7 +8,7 @@ again, up a tree, until one partition holds what is left or a round saves nothin
 An item longer than the capacity is cut into full pieces and a rest; all others stay whole.
 
 Defined results: items of size 0 or null take no room and have no container (null); equal sizes are packed in the
-order of their ids; repeated rows are items of their own if their ids differ; an empty table gives no rows; a null
+order of their ids; rows that repeat an id are items of their own; an empty table gives no rows; a null
 capacity or one below 1 gives no rows.
 """
 

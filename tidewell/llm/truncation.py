@@ -8,7 +8,7 @@ set phrase is not. What counts as a set phrase or a heading is learned from all
 own nearly whenever its first words occur; a heading ends as lines inside other texts end.
 
 Defined results: null, empty and blank texts are never flagged; repeated texts are counted once for learning and
-all flagged alike; a null source is the source ""; ties between lengths do not matter; whole texts are read.
+all flagged alike, as are rows that repeat an id; a null source is the source ""; ties between lengths do not matter; whole texts are read.
 """
 
 from __future__ import annotations
@@ -86,5 +86,5 @@ def truncated(documents: DataFrame) -> DataFrame:
     listed = F.col("alone") & F.col("tail").rlike(r"^(?:[-*•] |\d+[.)] |\|).*\d$|^[-*•] [\p{L} ]+$|^\p{L}+: (?:\S+ ){1,3}[\d,.]*\d$|\|\s*$")
     whole = F.coalesce(phrase, F.lit(False)) | heading | listed | F.col("tail").rlike(LINK)
     spike = F.coalesce("at_chars", "at_bytes", F.lit(False))
-    decided = judged.select("doc_id", (F.col("remnant") | ~whole | (spike & ~F.coalesce(phrase, F.lit(False)))).alias("c"))
+    decided = judged.select("doc_id", (F.col("remnant") | ~whole | (spike & ~F.coalesce(phrase, F.lit(False)))).alias("c")).groupBy("doc_id").agg(F.max("c").alias("c"))
     return docs.select("doc_id", "source").join(decided, "doc_id", "left").select("doc_id", "source", F.coalesce("c", F.lit(False)).alias("cut"))
