@@ -1,5 +1,5 @@
 """Registered queries, each with its SQL, by theme."""
 
-from tidewell.plans import etl, joins, snapshots, stats, streams
+from tidewell.plans import etl, joins, more, snapshots, stats, streams
 
-MODULES = [snapshots, etl, joins, stats, streams]
+MODULES = [snapshots, etl, joins, stats, more, streams]
