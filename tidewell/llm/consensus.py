@@ -3,7 +3,8 @@
 Annotators belong to types ("communities"); a type has a confusion matrix with a Dirichlet posterior, and an
 annotator's own matrix is drawn around its type's. Variational updates alternate between item posteriors,
 annotators' expected counts, type responsibilities and type matrices. An annotator with few labels leans on
-its type; one with many keeps its own habits.
+its type; one with many keeps its own habits. Once settled, annotators that err together more than annotators do at
+large (copies of one another) are weighted down and the updates go on.
 
 Items with the same labels by the same annotators have the same posterior, so items are first collapsed to
 distinct label patterns with counts: every iteration runs over patterns. Patterns and annotators stay
@@ -17,7 +18,10 @@ last, then label order); nulls inside an item's fields are kept as values; an em
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ class Consensus:
     """Fits on construction. ``items``: item columns, posterior per class, consensus, agreement, votes.
     ``annotators``: annotator, type weights, confusion and reliability."""
 
-    def __init__(self, labels: DataFrame, classes: list[str], *, communities: int = 3, strength: float = 8.0, rounds: int = 15, tolerance: float = 5e-4):
+    def __init__(self, labels: DataFrame, classes: list[str], *, communities: int = 3, strength: float = 8.0, rounds: int = 15, tolerance: float = 5e-4, prolific: int = 64):
         k, m = len(classes), communities
         self.classes = classes
         sets = cut(labels.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes")), "votes")
@@ -57,8 +61,8 @@ class Consensus:
         theta = [[[(6.0 if c == lab else 2.0) + (2.0 * (t % 3 == 1) * (lab == 0)) + (2.0 * (t % 3 == 2) * (lab == k - 1)) for lab in range(k)] for c in range(k)] for t in range(m)]
         rho = [1.0 / m] * m
         prior = [1.0 / k] * k
-        before = None
-        for step in range(rounds):
+        before, adjusted, again, self.weights = None, False, 5, {}
+        for step in range(rounds + again):
             counts = counted.groupBy("annotator", "label").agg(*[F.sum(F.col("n") * F.col(f"q{c}")).alias(f"n{c}") for c in range(k)], *[F.sum(F.col("w") * F.col(f"q{c}")).alias(f"m{c}") for c in range(k)])
             wide = counts.groupBy("annotator").agg(*[F.coalesce(F.sum(F.when(F.col("label") == lab, F.col(f"n{c}"))), F.lit(0.0)).alias(f"n_{c}_{lab}") for c in range(k) for lab in range(k)], *[F.sum(f"m{c}").alias(f"m{c}") for c in range(k)])
             # Type responsibilities from the expected log-likelihood of the annotator's counts, tempered by their number.
@@ -87,13 +91,21 @@ class Consensus:
             theta = [[[sums[f"s_{t}_{c}_{lab}"] + (3.0 if c == lab else 1.0) for lab in range(k)] for c in range(k)] for t in range(m)]
             rho = [(sums[f"w{t}"] + 1.0) / (sum(sums[f"w{u}"] for u in range(m)) + m) for t in range(m)]
             if sums["m0"] is None:
-                post = self._posterior(votes, own, prior)
+                post = self._posterior(votes, own, prior, {})
                 break
             whole = sum(sums[f"m{c}"] for c in range(k))
             prior = [(sums[f"m{c}"] + 1.0) / (whole + k) for c in range(k)]
-            post = self._posterior(votes, own, prior)
-            if step + 1 == rounds or (before is not None and max(abs(a - b) for a, b in zip(prior, before)) < tolerance):
+            post = self._posterior(votes, own, prior, self.weights)
+            if step + 1 == rounds + again:
                 break
+            if before is not None and max(abs(a - b) for a, b in zip(prior, before)) < tolerance or step + 1 == rounds:
+                if adjusted:
+                    break
+                adjusted = True
+                self.weights = self._dependence(post, own, prolific)
+                if not self.weights:
+                    break
+                post = self._posterior(votes, own, prior, self.weights)
             counted = post.select(F.explode("who").alias("v"), "n", "w", *[f"q{c}" for c in range(k)]).select("v.annotator", "v.label", "n", "w", *[f"q{c}" for c in range(k)])
             before = prior
         self.prior, self.types = prior, theta
@@ -110,10 +122,62 @@ class Consensus:
         self.annotators = own.select("annotator", right.alias("reliability"), *[F.col(f"c_{c}_{c}").alias(f"recall_{classes[c].lower()}") for c in range(k)],
                                      sum((F.col(f"n_{c}_{lab}") for c in range(k) for lab in range(k)), F.lit(0.0)).alias("n_labels"), F.array(*[f"r{t}" for t in range(m)]).alias("type_weights"))
 
-    def _posterior(self, votes: DataFrame, own: DataFrame, prior: list[float]) -> DataFrame:
+    def _dependence(self, post: DataFrame, own: DataFrame, prolific: int) -> dict[str, float]:
+        """Weights below 1 of annotators that err together more than annotators do at large (copies of one another).
+
+        Only the ``prolific`` annotators with the most labels are compared, so the matrix of their residual
+        products is bounded; it is summed over all patterns. A pair's residuals are taken under the posterior
+        without the pair's own labels.
+        """
+        k = len(self.classes)
+        total = sum((F.col(f"n_{c}_{lab}") for c in range(k) for lab in range(k)), F.lit(0.0))
+        people = own.orderBy(F.desc(total), "annotator").limit(prolific).collect()
+        names = {r["annotator"]: i for i, r in enumerate(people)}
+        j = len(people)
+        if j < 3:
+            return {}
+        theta = np.array([[[r[f"c_{c}_{lab}"] for lab in range(k)] for c in range(k)] for r in people])  # annotator, class, label
+        log_e = np.array([[[r[f"e_{c}_{lab}"] for lab in range(k)] for c in range(k)] for r in people])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = np.full((len(b), j), -1)
+                for i, who in enumerate(b["who"]):
+                    for v in who:
+                        if v["annotator"] in names:
+                            x[i, names[v["annotator"]]] = v["label"]
+                log_q = np.log(np.clip(b[[f"q{c}" for c in range(k)]].to_numpy(), 1e-12, 1))
+                n, out = b["n"].to_numpy(), []
+                for a in range(j):
+                    for o in range(a + 1, j):
+                        m = (x[:, a] >= 0) & (x[:, o] >= 0)
+                        if m.any():
+                            rest = log_q[m] - log_e[a][:, x[m, a]].T - log_e[o][:, x[m, o]].T
+                            q = np.exp(rest - rest.max(1, keepdims=True))
+                            q /= q.sum(1, keepdims=True)
+                            ra, ro = np.eye(k)[x[m, a]] - q @ theta[a], np.eye(k)[x[m, o]] - q @ theta[o]
+                            w = n[m][:, None]
+                            out.append((a, o, float(n[m].sum()), float((w * ra * ro).sum()), float((w * ra * ra).sum()), float((w * ro * ro).sum())))
+                yield pd.DataFrame(out, columns=["a", "o", "n", "ao", "aa", "oo"])
+
+        sums = post.mapInPandas(run, "a int, o int, n double, ao double, aa double, oo double").groupBy("a", "o").agg(*[F.sum(c).alias(c) for c in ("n", "ao", "aa", "oo")]).where("n >= 30 and aa > 0 and oo > 0").collect()
+        if len(sums) < 3:
+            return {}
+        corr = {(r["a"], r["o"]): r["ao"] / math.sqrt(r["aa"] * r["oo"]) for r in sums}
+        usual = float(np.median(list(corr.values())))  # items differ in difficulty, which all annotators share
+        labels = [sum(r[f"n_{c}_{lab}"] for c in range(k) for lab in range(k)) for r in people]
+        excess = np.zeros(j)
+        for r in sums:
+            more = max(0.0, corr[r["a"], r["o"]] - max(usual, 0.0) - 0.1)
+            excess[r["a"]] += more * r["n"] / labels[r["a"]]
+            excess[r["o"]] += more * r["n"] / labels[r["o"]]
+        return {name: 1 / (1 + excess[i]) for name, i in names.items() if excess[i] > 0}
+
+    def _posterior(self, votes: DataFrame, own: DataFrame, prior: list[float], weights: dict[str, float]) -> DataFrame:
         """Per pattern: who said what, and the posterior of each class."""
         k = len(prior)
-        log_p = [(F.sum(F.expr("case label " + " ".join(f"when {lab} then e_{c}_{lab}" for lab in range(k)) + " end")) + math.log(prior[c])).alias(f"l{c}") for c in range(k)]
+        weight = F.coalesce(F.create_map(*[x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))])[F.col("annotator")], F.lit(1.0)) if weights else F.lit(1.0)
+        log_p = [(F.sum(weight * F.expr("case label " + " ".join(f"when {lab} then e_{c}_{lab}" for lab in range(k)) + " end")) + math.log(prior[c])).alias(f"l{c}") for c in range(k)]
         seen = votes.join(own.select("annotator", *[f"e_{c}_{lab}" for c in range(k) for lab in range(k)]), "annotator")
         scored = seen.groupBy("pid", "n", "w").agg(F.collect_list(F.struct("annotator", "label")).alias("who"), *log_p)
         top = F.greatest(*[F.col(f"l{c}") for c in range(k)])
