@@ -6,7 +6,8 @@ surges above a threshold and the last one before the dive back to nothing bound
 the surge and list lines after the dive are taken in; inside the bounds, lines that the host repeats, prompts,
 counters, tags and runs of links are taken out by an exact check.
 
-How many pages of its host (and how many hosts) have a line is counted over all texts, digits aside.
+How many pages of its host (and how many hosts) have a line is counted over all texts; texts come with every
+number as 0.
 
 Defined results: null and blank texts have no lines here; empty lines belong to neither part; a page without
 running text has no main text; repeated texts are decided once; texts of any length are read whole.
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.pages import DOC
-from tidewell.llm.residue import brand_pattern
 from tidewell.session import cut
 
 WINDOW, SURGE = 3, 25  # lines in a block; characters of running text (a CJK character counts double) that make a surge
@@ -43,9 +45,8 @@ CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
 def line_counts(texts: DataFrame) -> DataFrame:
     """(doc, size, seen): for every line, the share of the host's pages and the number of hosts that have it."""
-    plain = F.regexp_replace(F.regexp_replace(F.col("text"), r"[0-9]+(?:[.,][0-9]+)*", "0"), brand_pattern(F.col("host")), F.lit("@"))
-    lines = texts.select(*DOC, "page", F.xxhash64("host").alias("h"), F.posexplode(F.split(plain, "\n")).alias("line_no", "l"))
-    lines = lines.select(*DOC, "page", "h", "line_no", F.trim(F.regexp_replace("l", r"[\s ]{2,}|[^\S ]", " ")).alias("l")).where("l <> ''").select(*DOC, "page", "h", "line_no", F.xxhash64("l").alias("line"))
+    lines = texts.select(*DOC, "page", F.xxhash64("host").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
+    lines = lines.select(*DOC, "page", "h", "line_no", F.trim("l").alias("l")).where("l <> ''").select(*DOC, "page", "h", "line_no", F.xxhash64("l").alias("line"))
     lines = cut(lines, "lines")
     once = lines.groupBy("h", "line").agg(F.countDistinct("page").alias("pages")).where("pages > 1")
     hosts = lines.groupBy("line").agg(F.approx_count_distinct("h", 0.02).alias("hosts")).where("hosts > 1")
@@ -59,6 +60,28 @@ def _words(s: str) -> int:
     return len(s.split()) + len(CJK.findall(s)) // 4
 
 
+class Look(NamedTuple):
+    """What a line looks like by itself."""
+
+    words: int
+    sentence: bool
+    data: bool
+    bullet: bool
+    label: bool
+    prompt: bool
+    menu: bool
+
+
+@lru_cache(maxsize=50_000)
+def _look(s: str) -> Look:
+    words, bullet = _words(s), bool(BULLET.match(s))
+    sentence = bool(END.search(s)) and words >= 4
+    label = bool(LABEL.match(s))
+    prompt = label or bool(COOKIES.search(s)) or not (sentence and words >= 9) and bool(PROMPT.search(s)) or bool(INLINE.search(s))
+    menu = not sentence and len(re.split(r"\s[|>/•·]\s|\s{2,}", s)) >= 3
+    return Look(words, sentence, not bullet and bool(DATA.search(s)), bullet, label, prompt, menu)
+
+
 def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], window: int = WINDOW, surge: int = SURGE) -> set[int]:
     """Numbers (from 0) of the lines of the main text."""
     lines = [TAG.sub("", x).replace(" ", " ").strip() for x in text.split("\n")]
@@ -69,28 +92,25 @@ def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], w
         if not s:
             continue
         share, pages, hosts = seen.get(i, (0.0, 1, 1))
-        bare = BULLET.sub("", s)
-        sentence = bool(END.search(s)) and _words(s) >= 4
-        own = len(brand) > 3 and brand in re.sub(r"[\W_]+", "", s.casefold())
-        data = bool(DATA.search(s)) and not BULLET.match(s)
-        prompt = COOKIES.search(s) or PROMPT.search(s) and not (sentence and _words(s) >= 9)
-        if prompt or INLINE.search(s) or LABEL.match(s) or own:
+        look = _look(s)
+        own = len(brand) > 3 and brand[:3] in s.casefold() and brand in re.sub(r"[\W_]+", "", s.casefold())
+        if look.prompt or own:
             furniture[i] = True
-        elif share >= 0.1 and pages >= 3 and not data:
+        elif share >= (0.3 if look.sentence else 0.1) and pages >= 3 and not look.data:
             furniture[i] = repeated[i] = True
-        elif not sentence and not data and hosts >= 3 and (_words(s) <= 3 or share >= 0.02):
+        elif not look.sentence and not look.data and hosts >= 3 and (look.words <= 3 or share >= 0.02):
             furniture[i] = repeated[i] = True
-        elif len(re.split(r"\s[|>/•·]\s|\s{2,}", s)) >= 3 and not sentence:
+        elif look.menu:
             furniture[i] = True
-        if LABEL.match(s):
+        if look.label:
             after_label = True
-        elif after_label and not sentence and not data and not furniture[i]:
+        elif after_label and not look.sentence and not look.data and not furniture[i]:
             links[i] = True
         else:
             after_label = False
-        if BULLET.match(s) and not sentence:
+        if look.bullet and not look.sentence:
             links[i] = True
-        running[i] = sentence and not furniture[i] and not links[i]
+        running[i] = look.sentence and not furniture[i] and not links[i]
     mass = [(len(s) + len(CJK.findall(s))) if running[i] else 0 for i, s in enumerate(lines)]
     blocks = [sum(mass[i : i + window]) for i in range(n)]
     high = [i for i in range(n) if blocks[i] >= surge and mass[i]]

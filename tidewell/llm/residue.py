@@ -39,11 +39,10 @@ BUCKETS = 1 << 18
 
 
 def passages(texts: DataFrame) -> DataFrame:
-    """(doc, size, status, host, passage): lines cut at sentence ends; digits become 0, slots one mark, the host's name another."""
+    """(doc, size, status, host, passage): lines cut at sentence ends; slots become one mark, the host's name another."""
     slots = F.when(F.col("text").rlike(r"[{}\[\]@%<]|__"), F.regexp_replace("text", SLOT, " ⟦⟧ ")).otherwise(F.col("text"))
-    flat = F.regexp_replace(slots, r"[0-9]+(?:[.,][0-9]+)*", "0")
-    flat = F.regexp_replace(flat, brand_pattern(F.col("host")), F.lit("@"))
-    parts = F.split(flat, r"[\r\n]+|(?<=[.!?。])\s+")
+    flat = F.regexp_replace(slots, brand_pattern(F.col("host")), "ⓗ")
+    parts = F.split(flat, r"\n|(?<=[.!?。]) +")
     return texts.select(*DOC, "status", "host", F.explode(parts).alias("p")).select(*DOC, "status", "host", F.trim(F.lower(F.regexp_replace("p", r"[\s ]+", " "))).alias("passage")).where("passage <> ''")
 
 
@@ -54,7 +53,7 @@ def brand_pattern(host: Column) -> Column:
 
 
 def features(passage: Column) -> Column:
-    words = F.filter(F.split(passage, r"[^\p{L}\p{N}⟦⟧@]+"), lambda w: w != "")
+    words = F.filter(F.split(passage, r"[\s\p{Punct}·•…“”‘’]+"), lambda w: w != "")
     ends = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
     pairs = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.transform(F.concat(words, pairs), lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))
@@ -79,7 +78,7 @@ class NaiveBayes:
             pos = np.maximum(pos - discount, 0)  # a feature seen once proves nothing
             base = (whole + 0.5) / (whole.sum() + 0.5 * BUCKETS)
             share = lambda x: ((1 - smooth) * x / x.sum() if x.sum() > 0 else 0.0) + smooth * base
-            self.weights = np.log(share(pos)) - np.log(share(neg)) if pos.sum() > 0 else np.full(BUCKETS, -1.0)
+            self.weights = np.log(share(pos)) - np.log(share(neg)) if pos.sum() > 0 else np.zeros(BUCKETS)
             started = True
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -135,7 +134,7 @@ def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2
     # A slot with the two words on either side of it, and whether it stands (nearly) alone or in a sentence about templates.
     around = F.explode(F.regexp_extract_all("passage", F.lit(r"(?:[^\s⟦⟧]+\s+){0,2}⟦⟧(?:\s*[^\s⟦⟧]+){0,2}"), 0))
     words = F.size(F.split("passage", r"\s+"))
-    near = known.where("slot").select("pid", "n", F.when(F.col("passage").rlike(ABOUT), 0.02).when(words <= 4, 0.98).otherwise(0.7).alias("prior"), around.alias("w"))
+    near = known.where("slot").select("pid", "n", F.when(F.col("passage").rlike(ABOUT), 0.02).when(words <= 4, 0.98).otherwise(0.9).alias("prior"), around.alias("w"))
     near = cut(near.select("pid", F.col("n").cast("double"), "prior", features(F.col("w")).alias("features")), "slots")
     slots = NaiveBayes(_sampled(near, "pid", sample))
     odds = F.log(F.col("prior") / (1 - F.col("prior")))
