@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,7 @@ CLOSED_KO = re.compile(r"[가-힣](다|요|까|음|함|임|죠)$")
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтАВЕКМНОРСТХ", "aeopcyxijsdhkmtABEKMHOPCTX")
 
 
+@lru_cache(maxsize=20_000)
 def plain(text: str | None) -> str:
     """Unicode forms, tags, entities, invisible characters and look-alike letters made even."""
     s = unicodedata.normalize("NFKC", text or "")
@@ -58,6 +60,7 @@ def plain(text: str | None) -> str:
     return re.sub(r"[​-‏⁠﻿­]", "", s).translate(LOOKALIKES)
 
 
+@lru_cache(maxsize=20_000)
 def bare(text: str | None) -> str:
     s = unicodedata.normalize("NFKD", plain(text)).casefold()
     return unicodedata.normalize("NFC", "".join(c for c in s if not unicodedata.combining(c)))
@@ -97,9 +100,17 @@ class LanguageModel:
         share = table / np.maximum(table.sum(1, keepdims=True), 1.0)
         self.log_p = np.log(0.9 * share + 0.1 / BUCKETS)  # what is unseen tells nothing, however large a language's sample
 
-    def posterior(self, text: str) -> np.ndarray:
-        g = _grams(text)
-        s = self.log_p[:, g].sum(1) if g else np.zeros(len(self.langs))
+    def posterior(self, words: list[str]) -> np.ndarray:
+        """Words recur, so their scores are kept (a bounded number of them)."""
+        kept = self.__dict__.setdefault("_kept", {})
+        s = np.zeros(len(self.langs))
+        for w in words:
+            if w not in kept:
+                if len(kept) > 100_000:
+                    kept.clear()
+                g = _grams(w)
+                kept[w] = self.log_p[:, g].sum(1) if g else s * 0
+            s = s + kept[w]
         e = np.exp(s - s.max())
         return e / e.sum()
 
@@ -109,6 +120,8 @@ def _is_copy(q: str, a: str) -> bool:
         s = re.sub(r"[\W_]+", " ", s).strip()
         return {s[i : i + 3] for i in range(max(1, len(s) - 2))} if s else set()
 
+    if not 0.5 * len(q) - 10 <= len(a) <= 2.5 * len(q) + 60:
+        return False
     parts = re.sub(r"^.{0,12}[:：]\s", "", LEADS.sub("", bare(a)))
     x, y = grams(LEADS.sub("", bare(q))), grams(re.sub(r"\b(answer|you asked)\b\W*", "", parts))
     both = len(x & y)
@@ -132,9 +145,9 @@ def _other_language(q: str, a: str, model: LanguageModel) -> bool:
     sentence = len(words) >= 4 or any(CLOSED_KO.search(w) and len(w) >= 3 for w in hangul[-1:]) and len(hangul) >= 2
     if not sentence:
         return False
-    asked = model.posterior(" ".join(w for w in re.findall(r"[^\W\d_]+", plain(q)) if not w[:1].isupper() or w.lower() in _ASKING))
-    said = model.posterior(" ".join(words))
-    return said.max() > 0.98 and said[int(asked.argmax())] < 0.01
+    asked = model.posterior([w for w in re.findall(r"[^\W\d_]+", plain(q)) if not w[:1].isupper() or w.lower() in _ASKING])
+    said = model.posterior(words)
+    return asked.max() > 0.9 and said.max() > 0.98 and said[int(asked.argmax())] < 0.01
 
 
 _SMALL = {"the", "was", "were", "are", "answer", "you", "asked", "question", "thanks", "please", "답변", "질문"}
@@ -146,11 +159,16 @@ def _skeleton(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[0-9]+([.,:-][0-9]+)*", "0"), r"[.!?。]+['\"”’)\]]*\s*$", ""))
 
 
+def _pair_id() -> Column:
+    return F.xxhash64(F.coalesce("prompt", F.lit("\0")), F.coalesce("response", F.lit("\0")))
+
+
 def defects(pairs: DataFrame, labelled: DataFrame, sample: int = 4000) -> DataFrame:
-    """``pairs``: prompt, response and any other columns; adds ``defect`` (null where there is none)."""
+    """``pairs``: prompt, response and any other columns; adds ``defect`` (null where there is none), in place of a column of that name."""
+    pairs = pairs.drop("defect")
     model = LanguageModel(labelled, sample)
     shared = pairs.sparkSession.sparkContext.broadcast(model)
-    texts = cut(pairs.select("prompt", "response").distinct().withColumn("pid", F.xxhash64("prompt", "response")), "pairs")
+    texts = cut(pairs.select("prompt", "response").distinct().withColumn("pid", _pair_id()), "pairs")
 
     # Ends of all distinct responses: whole wordings that end with a stop, and last words at an end or inside.
     said = texts.where(F.col("response").isNotNull()).select("response").distinct().select("response", F.col("response").rlike(r"[.!?。]['\"”’)\]]*\s*$").alias("stopped"), _skeleton(F.col("response")).alias("sk"))
@@ -196,5 +214,5 @@ def defects(pairs: DataFrame, labelled: DataFrame, sample: int = 4000) -> DataFr
             yield pd.DataFrame({"pid": b.pid, "defect": found})
 
     found = judged.mapInPandas(run, "pid long, defect string")
-    keyed = pairs.withColumn("_pid", F.xxhash64("prompt", "response"))
-    return keyed.join(found, F.col("_pid") == F.col("pid"), "left").drop("_pid", "pid")
+    found = found.withColumnRenamed("pid", "_tw_found")
+    return pairs.withColumn("_tw_pair", _pair_id()).join(found, F.col("_tw_pair") == F.col("_tw_found"), "left").drop("_tw_pair", "_tw_found")
