@@ -2,7 +2,7 @@
 
 Passages (lines and sentences) are scored, records decided by their passages. Trusted positives are passages of
 short records delivered with an error status, on two hosts and in ``usual`` of these records at least, that are not
-common elsewhere, and passages with a filler cue or a
+common elsewhere, and short passages with a fixed error or filler cue or a
 placeholder standing alone; all others are unlabelled. Words, word pairs and line ends are features, hashed into
 a fixed number of buckets, so that the model has a proven size and may be broadcast. Placeholders inside a
 sentence are judged by their neighbouring words, against trusted sentences that write about templates.
@@ -31,7 +31,13 @@ SLOTS = (
     r"\{\{[^{}\n]{1,40}\}\}", r"\$\{[^{}\n]{1,40}\}", r"#\{[^{}\n]{1,40}\}", r"<%[^%>\n]{1,40}%>", r"\{%[^%{}\n]{1,40}%\}", r"\[\[[^\[\]\n]{1,40}\]\]",
     r"@@[\w.]{1,40}@@", r"__[a-zA-Z][\w.]{0,40}?__", r"<<[^<>\n]{1,40}>>", r"\[INSERT [^\]\n]{1,40}\]", r"\[[\w. ]{1,30} here\]", r"\{\d{1,2}\}", r"\{[a-z_.]{2,40}\}", r"%[A-Za-z_]{3,40}%", r"%\([\w.]{1,40}\)s",
 )
-FILLER = r"^lorem ipsum\b|\b(goes|comes) here\b|^insert .{1,60} here\b|^todo:|\bcontent placeholder\b|여기에 .{0,40}입력|입력해 주세요\.?$"
+FILLER = r"^lorem ipsum\b|^sample text\b|\b(goes|comes) here\b|^insert .{1,60} here\b|^todo:|\bcontent placeholder\b|여기에 .{0,40}입력|입력해 주세요\.?$"
+# Short passages that are error messages wherever they stand; numbers are 0.
+ERRORS = (
+    r"^(error )?0\b.{0,4}(not found|forbidden|bad gateway|internal server error|service unavailable|unauthorized|gateway time-?out)|^(page|article|file) (was )?not found|this page (does not|doesn't) exist|^too many requests|^access denied|^request timed out"
+    r"|(enable|turn on|allow|requires?) (javascript|scripts|cookies)|javascript is (disabled|off|required)|scripts are (switched|turned) off|verify that you are human|^checking your browser|could not be (found|located)|under maintenance|^<(fault|error)>|^\{.error"
+    r"|찾을 수 없습니다|점검 중입니다|접근 권한이 없|로봇이 아님|자바스크립트를 (사용|켜|허용)"
+)
 ABOUT = r"\b(template|templates|manual|brackets|braces|renderer|syntax|markup|stands for|guide explains)\b|템플릿|괄호|자리표시|중괄호|치환|설명서"
 
 SLOT = "(?:" + "|".join(SLOTS) + ")"
@@ -122,7 +128,7 @@ def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2
     each = cut(passages(texts), "each")
     one = each.groupBy("passage").agg(F.count("*").alias("n"), F.sum(trusted.cast("int")).alias("t"), F.min(F.when(trusted, F.col("host"))).alias("h1"), F.max(F.when(trusted, F.col("host"))).alias("h2"))
     least = max(2.0, usual * texts.where(trusted).count())
-    seed = (F.col("t") >= least) & (F.col("h1") != F.col("h2")) & (F.col("n") - F.col("t") <= common * F.col("t")) | F.col("passage").rlike(FILLER)
+    seed = (F.col("t") >= least) & (F.col("h1") != F.col("h2")) & (F.col("n") - F.col("t") <= common * F.col("t")) | F.col("passage").rlike(FILLER) | F.col("passage").rlike(ERRORS) & (F.size(F.split("passage", " ")) <= 10) & ~F.col("passage").rlike("[\"'“”‘’](?!t )")
     slot = F.col("passage").contains("⟦⟧")
     known = cut(one.select("passage", F.xxhash64("passage").alias("pid"), "n", seed.alias("seed"), slot.alias("slot"), features(F.col("passage")).alias("features")), "passages")
 
