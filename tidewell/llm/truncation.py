@@ -24,6 +24,7 @@ REMNANT = r"(?:\x{FFFD}+|<[A-Za-z/!][^<>\n]{0,40}|<|&#?[A-Za-z0-9]{0,7}|[(\[{])\
 TERMINAL = r"[.!?。！？]['\"”’)\]」』]*$"
 LINK = r"https?://[\w.-]+(/[\w./?=&%-]*)?$"
 LONGEST = 8  # words of a set phrase
+END = 2000
 
 
 def _skeleton(text: Column) -> Column:
@@ -47,7 +48,7 @@ def length_spikes(docs: DataFrame, *, ratio: float = 3.0, least: int = 6, around
 
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut): every document with some text and whether it was cut off."""
-    text = F.regexp_replace("text", r"\s+$", "")
+    text = F.rtrim(F.col("text"), F.lit(" \t\r\n\f\u00a0\u3000"))
     base = documents.select("doc_id", F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source"), F.col("text").alias("whole"), text.alias("t")).where("t <> ''")
     docs = base.select("doc_id", "source", "whole", "t", F.length("whole").alias("chars"), F.octet_length("whole").alias("bytes"), F.xxhash64("whole").alias("h"))
 
@@ -65,10 +66,12 @@ def truncated(documents: DataFrame) -> DataFrame:
     ends = inner.select(F.explode(F.array(F.xxhash64(_last(inner_words, 3)), F.xxhash64(F.lit("ko"), F.when(_last(inner_words, 1).rlike(r"[가-힣]"), _last(inner_words, 1))))).alias("e"), "h").groupBy("e").agg(F.countDistinct("h").alias("ending"))
 
     # The last segment of every text, after marks of a cut are taken off.
-    bare = F.regexp_replace(F.regexp_replace("t", MARKS, ""), r"\s+$", "")
-    last_line = F.regexp_extract(bare, r"([^\n]*)$", 1)
+    # Its last END characters hold it, or more words than any set phrase has.
+    final = F.substring("t", -END, END)
+    bare = F.regexp_replace(F.regexp_replace(final, MARKS, ""), r"\s+$", "")
+    last_line = F.substring_index(bare, "\n", -1)
     tail = F.element_at(F.split(last_line, r"(?<=[.!?。])\s+"), -1)
-    tails = docs.select("doc_id", "source", "chars", "bytes", F.col("t").rlike(REMNANT).alias("remnant"), bare.rlike(TERMINAL).alias("ended"), tail.alias("tail"), (last_line == tail).alias("alone"))
+    tails = docs.select("doc_id", "source", "chars", "bytes", final.rlike(REMNANT).alias("remnant"), bare.rlike(TERMINAL).alias("ended"), tail.alias("tail"), (last_line == tail).alias("alone"))
     tails = tails.withColumn("w", F.split(_skeleton(F.col("tail")), " ")).withColumn("n", F.size("w"))
     tails = tails.withColumn("p", F.when(F.col("n") <= LONGEST, F.xxhash64(F.array_join("w", " ")))).withColumn("p1", F.when((F.col("n") > 1) & (F.col("n") <= LONGEST), F.xxhash64(F.array_join(F.slice("w", 1, F.col("n") - 1), " "))))
     tails = tails.withColumn("e3", F.xxhash64(_last(F.col("w"), 3))).withColumn("e1", F.xxhash64(F.lit("ko"), _last(F.col("w"), 1)))
