@@ -28,11 +28,40 @@ from pyspark.sql import functions as F
 from tidewell.session import cut
 
 
-def digamma(x: Column) -> Column:
+def digamma(x):
     """Asymptotic series after six recurrence steps; error below 1e-9 for x > 0."""
     y = x + 6.0
-    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y**4) - 1 / (252 * y**6)
-    return series - sum((1 / (x + float(k)) for k in range(6)), F.lit(0.0))
+    return np.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y**4) - 1 / (252 * y**6) - sum(1 / (x + i) for i in range(6))
+
+
+def _fields(k: int, m: int) -> str:
+    cells = [f"{c}_{lab}" for c in range(k) for lab in range(k)]
+    names = [*[f"n_{x}" for x in cells], *[f"m{c}" for c in range(k)], "total", "weight", *[f"r{t}" for t in range(m)], *[f"e_{x}" for x in cells], *[f"c_{x}" for x in cells], *[f"p{c}" for c in range(k)]]
+    return "annotator string, " + ", ".join(f"{n} double" for n in names)
+
+
+def _update(k: int, theta: np.ndarray, rho: np.ndarray, prior: np.ndarray, weights: dict[str, float], strength: float):
+    """Annotators' type responsibilities and own matrices from their expected counts."""
+    cells = [(c, lab) for c in range(k) for lab in range(k)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        expect = digamma(theta) - digamma(theta.sum(2, keepdims=True))  # type, class, label
+        mean = theta / theta.sum(2, keepdims=True)
+        for b in batches:
+            n = np.stack([b[f"n_{c}_{lab}"].to_numpy() for c, lab in cells], 1).reshape(-1, k, k)
+            total = n.sum((1, 2))
+            # Responsibilities from the expected log-likelihood of the counts, tempered by their number.
+            ll = np.log(rho) + np.einsum("acl,tcl->at", n, expect) * np.minimum(1.0, 30.0 / np.maximum(total, 1e-9))[:, None]
+            r = np.exp(ll - ll.max(1, keepdims=True))
+            r /= r.sum(1, keepdims=True)
+            # The annotator's own matrix: its type's mean times the strength, plus its counts.
+            own = strength * np.einsum("at,tcl->acl", r, mean) + n
+            e, c_ = digamma(own) - digamma(own.sum(2, keepdims=True)), own / own.sum(2, keepdims=True)
+            out = b.assign(total=total, weight=[weights.get(x, 1.0) for x in b["annotator"]])
+            more = {f"r{t}": r[:, t] for t in range(len(rho))} | {f"e_{c}_{lab}": e[:, c, lab] for c, lab in cells} | {f"c_{c}_{lab}": c_[:, c, lab] for c, lab in cells} | {f"p{c}": np.log(prior[c]) for c in range(k)}
+            yield pd.concat([out, pd.DataFrame(more, index=b.index)], axis=1)
+
+    return run
 
 
 def usable_labels(rows: DataFrame, item: list[str], annotator: str, label: Column, time: Column, classes: list[str]) -> DataFrame:
@@ -65,37 +94,18 @@ class Consensus:
         for step in range(rounds + again):
             counts = counted.groupBy("annotator", "label").agg(*[F.sum(F.col("n") * F.col(f"q{c}")).alias(f"n{c}") for c in range(k)], *[F.sum(F.col("w") * F.col(f"q{c}")).alias(f"m{c}") for c in range(k)])
             wide = counts.groupBy("annotator").agg(*[F.coalesce(F.sum(F.when(F.col("label") == lab, F.col(f"n{c}"))), F.lit(0.0)).alias(f"n_{c}_{lab}") for c in range(k) for lab in range(k)], *[F.sum(f"m{c}").alias(f"m{c}") for c in range(k)])
-            # Type responsibilities from the expected log-likelihood of the annotator's counts, tempered by their number.
-            total = sum((F.col(f"n_{c}_{lab}") for c in range(k) for lab in range(k)), F.lit(0.0))
-            fit = []
-            for t in range(m):
-                ll = F.lit(math.log(rho[t]))
-                for c in range(k):
-                    s = sum(theta[t][c])
-                    for lab in range(k):
-                        ll = ll + F.col(f"n_{c}_{lab}") * float(_psi(theta[t][c][lab]) - _psi(s)) * F.least(F.lit(1.0), 30.0 / total)
-                fit.append(ll)
-            peak = F.greatest(*fit) if m > 1 else fit[0]
-            weights = [F.exp(x - peak) for x in fit]
-            norm = sum(weights[1:], weights[0])
-            people = wide.select("*", *[(w / norm).alias(f"r{t}") for t, w in enumerate(weights)])
-            # The annotator's own matrix: its type's mean times the strength, plus its counts.
-            own = people
-            for c in range(k):
-                a = [sum((F.col(f"r{t}") * float(strength * theta[t][c][lab] / sum(theta[t][c])) for t in range(m)), F.lit(0.0)) + F.col(f"n_{c}_{lab}") for lab in range(k)]
-                s = sum(a[1:], a[0])
-                own = own.select("*", *[(digamma(x) - digamma(s)).alias(f"e_{c}_{lab}") for lab, x in enumerate(a)], *[(x / s).alias(f"c_{c}_{lab}") for lab, x in enumerate(a)])
+            own = wide.mapInPandas(_update(k, np.array(theta), np.array(rho), np.array(prior), self.weights, strength), _fields(k, m))
             own = cut(own, "annotators")
-            sums = own.agg(*[F.coalesce(F.sum(F.col(f"r{t}") * F.col(f"n_{c}_{lab}") * F.least(F.lit(1.0), 60.0 / sum((F.col(f"n_{x}_{y}") for x in range(k) for y in range(k)), F.lit(0.0)))), F.lit(0.0)).alias(f"s_{t}_{c}_{lab}") for t in range(m) for c in range(k) for lab in range(k)],
-                           *[F.coalesce(F.sum(f"r{t}"), F.lit(0.0)).alias(f"w{t}") for t in range(m)], *[F.sum(f"m{c}").alias(f"m{c}") for c in range(k)]).first()
+            mass = [F.coalesce(F.sum(F.col(f"r{t}") * F.col(f"n_{c}_{lab}") * F.least(F.lit(1.0), 60.0 / F.col("total"))), F.lit(0.0)).alias(f"s_{t}_{c}_{lab}") for t in range(m) for c in range(k) for lab in range(k)]
+            sums = own.agg(*mass, *[F.coalesce(F.sum(f"r{t}"), F.lit(0.0)).alias(f"w{t}") for t in range(m)], *[F.sum(f"m{c}").alias(f"m{c}") for c in range(k)]).first()
             theta = [[[sums[f"s_{t}_{c}_{lab}"] + (3.0 if c == lab else 1.0) for lab in range(k)] for c in range(k)] for t in range(m)]
             rho = [(sums[f"w{t}"] + 1.0) / (sum(sums[f"w{u}"] for u in range(m)) + m) for t in range(m)]
             if sums["m0"] is None:
-                post = self._posterior(votes, own, prior, {})
+                post = self._posterior(votes, own, prior)
                 break
             whole = sum(sums[f"m{c}"] for c in range(k))
             prior = [(sums[f"m{c}"] + 1.0) / (whole + k) for c in range(k)]
-            post = self._posterior(votes, own, prior, self.weights)
+            post = self._posterior(votes, own, prior)
             if step + 1 == rounds + again:
                 break
             if before is not None and max(abs(a - b) for a, b in zip(prior, before)) < tolerance or step + 1 == rounds:
@@ -105,7 +115,7 @@ class Consensus:
                 self.weights = self._dependence(post, own, prolific)
                 if not self.weights:
                     break
-                post = self._posterior(votes, own, prior, self.weights)
+                post = self._posterior(votes, own, prior)
             counted = post.select(F.explode("who").alias("v"), "n", "w", *[f"q{c}" for c in range(k)]).select("v.annotator", "v.label", "n", "w", *[f"q{c}" for c in range(k)])
             before = prior
         self.prior, self.types = prior, theta
@@ -120,7 +130,7 @@ class Consensus:
                                    F.when(n > 1, (pairs - n) / (n * (n - 1))).alias("pair_agreement"), n.alias("n_labels"))
         right = sum((float(prior[c]) * F.col(f"c_{c}_{c}") for c in range(k)), F.lit(0.0))
         self.annotators = own.select("annotator", right.alias("reliability"), *[F.col(f"c_{c}_{c}").alias(f"recall_{classes[c].lower()}") for c in range(k)],
-                                     sum((F.col(f"n_{c}_{lab}") for c in range(k) for lab in range(k)), F.lit(0.0)).alias("n_labels"), F.array(*[f"r{t}" for t in range(m)]).alias("type_weights"))
+                                     F.col("total").alias("n_labels"), F.array(*[f"r{t}" for t in range(m)]).alias("type_weights"))
 
     def _dependence(self, post: DataFrame, own: DataFrame, prolific: int) -> dict[str, float]:
         """Weights below 1 of annotators that err together more than annotators do at large (copies of one another).
@@ -130,8 +140,7 @@ class Consensus:
         without the pair's own labels.
         """
         k = len(self.classes)
-        total = sum((F.col(f"n_{c}_{lab}") for c in range(k) for lab in range(k)), F.lit(0.0))
-        people = own.orderBy(F.desc(total), "annotator").limit(prolific).collect()
+        people = own.orderBy(F.desc("total"), "annotator").limit(prolific).collect()
         names = {r["annotator"]: i for i, r in enumerate(people)}
         j = len(people)
         if j < 3:
@@ -165,7 +174,7 @@ class Consensus:
             return {}
         corr = {(r["a"], r["o"]): r["ao"] / math.sqrt(r["aa"] * r["oo"]) for r in sums}
         usual = float(np.median(list(corr.values())))  # items differ in difficulty, which all annotators share
-        labels = [sum(r[f"n_{c}_{lab}"] for c in range(k) for lab in range(k)) for r in people]
+        labels = [r["total"] for r in people]
         excess = np.zeros(j)
         for r in sums:
             more = max(0.0, corr[r["a"], r["o"]] - max(usual, 0.0) - 0.1)
@@ -173,18 +182,15 @@ class Consensus:
             excess[r["o"]] += more * r["n"] / labels[r["o"]]
         return {name: 1 / (1 + excess[i]) for name, i in names.items() if excess[i] > 0}
 
-    def _posterior(self, votes: DataFrame, own: DataFrame, prior: list[float], weights: dict[str, float]) -> DataFrame:
-        """Per pattern: who said what, and the posterior of each class."""
+    def _posterior(self, votes: DataFrame, own: DataFrame, prior: list[float]) -> DataFrame:
+        """Per pattern: who said what, and the posterior of each class.
+
+        The class shares and the annotators' weights come as columns, so the plan is the same in every round.
+        """
         k = len(prior)
-        weight = F.coalesce(F.create_map(*[x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))])[F.col("annotator")], F.lit(1.0)) if weights else F.lit(1.0)
-        log_p = [(F.sum(weight * F.expr("case label " + " ".join(f"when {lab} then e_{c}_{lab}" for lab in range(k)) + " end")) + math.log(prior[c])).alias(f"l{c}") for c in range(k)]
-        seen = votes.join(own.select("annotator", *[f"e_{c}_{lab}" for c in range(k) for lab in range(k)]), "annotator")
+        log_p = [(F.sum(F.col("weight") * F.expr("case label " + " ".join(f"when {lab} then e_{c}_{lab}" for lab in range(k)) + " end")) + F.max(f"p{c}")).alias(f"l{c}") for c in range(k)]
+        seen = votes.join(own.select("annotator", "weight", *[f"p{c}" for c in range(k)], *[f"e_{c}_{lab}" for c in range(k) for lab in range(k)]), "annotator")
         scored = seen.groupBy("pid", "n", "w").agg(F.collect_list(F.struct("annotator", "label")).alias("who"), *log_p)
         top = F.greatest(*[F.col(f"l{c}") for c in range(k)])
         z = sum((F.exp(F.col(f"l{c}") - top) for c in range(k)), F.lit(0.0))
         return scored.select("pid", "n", "w", "who", *[(F.exp(F.col(f"l{c}") - top) / z).alias(f"q{c}") for c in range(k)])
-
-
-def _psi(x: float) -> float:
-    y = x + 6.0
-    return math.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y**4) - 1 / (252 * y**6) - sum(1 / (x + i) for i in range(6))
