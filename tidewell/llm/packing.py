@@ -68,6 +68,7 @@ def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
 
 def pack(items: DataFrame, limits: DataFrame, *, full: float = 0.995, per_task: int = 20_000, rounds: int = 5) -> DataFrame:
     """(packing, id, piece, size, container). ``items``: id, size; ``limits``: packing, capacity."""
+    items = cut(items.select("id", "size"), "items")
     whole = pieces(items, limits)
     open_ = cut(whole.select("packing", "capacity", F.concat_ws("-", F.lit("i"), "id", "piece").alias("bin"), F.col("size").alias("fill"), F.array(F.struct("id", "piece", "size")).alias("members")), "open")
     done = []
