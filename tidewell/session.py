@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,24 @@ def scratch(spark: SparkSession, label: str = "cut") -> str:
     return f"{shared_dir(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a session, through the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewell_shipped", False):
+        return
+    here, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    path = scratch(spark, "code") + ".zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._tidewell_shipped = True
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later stages survive lost executors."""
     spark = df.sparkSession
