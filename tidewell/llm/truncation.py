@@ -27,9 +27,14 @@ LONGEST = 8  # words of a set phrase
 END = 2000
 
 
+def _unmarked(text: Column) -> Column:
+    """Without the marks of a cut; the long pattern runs only where the end may be one."""
+    return F.when(F.substring(text, -24, 24).rlike(r"(?i)(\.\.\.|…|\)|\]|more|reading|보기)\s*$"), F.regexp_replace(text, MARKS, "")).otherwise(text)
+
+
 def _skeleton(text: Column) -> Column:
     """Names and numbers masked, spaces single, marks of a cut removed."""
-    s = F.regexp_replace(F.regexp_replace(text, MARKS, ""), r"[A-Z][\p{L}\p{M}'-]*", "N")
+    s = F.regexp_replace(_unmarked(text), r"[A-Z][\p{L}\p{M}'-]*", "N")
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[0-9]+([.,:][0-9]+)*", "0"), r"\s+", " "))
 
 
@@ -61,14 +66,14 @@ def truncated(documents: DataFrame) -> DataFrame:
     sizes = F.explode(F.expr(f"sequence(1, least(size(w), {LONGEST}))")).alias("k")
     starts = segments.select("alone", "w", sizes).select(F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " ")).alias("p"), (F.col("k") == F.size("w")).alias("same"), "alone")
     starts = cut(starts.groupBy("p").agg(F.count("*").alias("starting"), F.sum(F.col("same").cast("int")).alias("same"), F.sum((F.col("same") & F.col("alone")).cast("int")).alias("own_line")), "starts")
-    inner = lines.where("at < end").select("h", F.regexp_replace("line", r"\s+$", "").alias("line")).where(~F.col("line").rlike(TERMINAL))
+    inner = lines.where("at < end").select("h", F.rtrim("line").alias("line")).where(~F.substring("line", -12, 12).rlike(TERMINAL))
     inner_words = F.split(_skeleton(F.col("line")), " ")
     ends = inner.select(F.explode(F.array(F.xxhash64(_last(inner_words, 3)), F.xxhash64(F.lit("ko"), F.when(_last(inner_words, 1).rlike(r"[가-힣]"), _last(inner_words, 1))))).alias("e"), "h").groupBy("e").agg(F.countDistinct("h").alias("ending"))
 
     # The last segment of every text, after marks of a cut are taken off.
     # Its last END characters hold it, or more words than any set phrase has.
     final = F.substring("t", -END, END)
-    bare = F.regexp_replace(F.regexp_replace(final, MARKS, ""), r"\s+$", "")
+    bare = F.rtrim(_unmarked(final), F.lit(" \t\r\n\f\u00a0\u3000"))
     last_line = F.substring_index(bare, "\n", -1)
     tail = F.element_at(F.split(last_line, r"(?<=[.!?。])\s+"), -1)
     tails = docs.select("doc_id", "source", "chars", "bytes", final.rlike(REMNANT).alias("remnant"), bare.rlike(TERMINAL).alias("ended"), tail.alias("tail"), (last_line == tail).alias("alone"))
