@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.boilerplate import content_lines, main_lines
 from tidewell.llm.consensus import Consensus, usable_labels
 from tidewell.llm.crosssplit import Speller, cross_split_pairs, distance, words_of
-from tidewell.llm.groups import assign_splits, components, named_entities, record_groups, subset_counts
+from tidewell.llm.groups import assign_splits, components, named_entities, record_groups, split_counts, subset_counts
 from tidewell.llm.mixing import mix, sainte_lague
 from tidewell.llm.packing import best_fit, pack
 from tidewell.llm.pages import distinct_texts, page_rows
@@ -192,6 +192,22 @@ def test_splits_meet_targets(spark):
     assert all(abs(r["count"] / 1000 - {"train": 0.7, "validation": 0.1, "heldout": 0.2}[r.split]) < 0.05 for r in coarse)
 
 
+@pytest.mark.parametrize("hist", [{1: 10_000_000}, {1: 3_000_000, 3: 3_000_000}, {1: 900_000, 2: 40_000, 17: 3_000, 5_000: 90, 400_000: 2, 3_000_000: 1}, {7: 1_000_003}, {3_000_000: 2, 1_000_000: 3, 999_999: 1}])
+def test_splits_of_many_records_meet_their_shares_as_few_do(hist):
+    total, rest = sum(s * m for s, m in hist.items()), dict(hist)
+    for share, taken in zip((0.1, 0.2), split_counts(hist, [0.1, 0.2, 0.7])):
+        assert all(0 <= m <= rest[s] for s, m in taken.items())
+        sums = [sum(s * m for s, m in x.items()) for x in (taken, subset_counts(rest, round(total * share)))]
+        assert sums[0] == sums[1]
+        rest = {s: m - taken.get(s, 0) for s, m in rest.items()}
+
+
+def test_splits_beyond_the_first_bitset(spark):
+    rows = [(f"r{i}", f"c{i // 3}" if i < 1500 else None) for i in range(3000)]
+    out = assign_splits(spark.createDataFrame(rows, "rid string, root string"), [("train", 0.7), ("validation", 0.1), ("heldout", 0.2)], unit_bits=8).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in out} == {"train": 2100, "validation": 300, "heldout": 600}
+
+
 # --- 7: cross-split pairs ----------------------------------------------------------------------------------------
 
 

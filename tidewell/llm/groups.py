@@ -14,6 +14,7 @@ fits go to the split first in the table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -105,58 +106,89 @@ def subset_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
     A bitset holds the sums that can be reached; multiplicities are split into powers of two, so every size takes
     log2(multiplicity) shifts.
     """
-    steps, reach = [], 1
-    limit = (1 << (2 * target + 1)) - 1
+    steps = []
     for size, many in sorted(sizes.items(), reverse=True):
         part = 1
         while many > 0:
-            take = min(part, many)
-            steps.append((size, take, reach))
-            reach = (reach | (reach << (size * take))) & limit
-            many -= take
+            steps.append((size, min(part, many)))
+            many -= min(part, many)
             part *= 2
+    limit = (1 << (2 * target + 1)) - 1
+    span = math.isqrt(len(steps)) + 1
+    kept, reach = [], 1
+    for i, (size, take) in enumerate(steps):
+        if i % span == 0:  # the bitsets between two kept ones are made again on the way back
+            kept.append(reach)
+        reach = (reach | (reach << (size * take))) & limit
     best = next(target + d for k in range(target + 1) for d in (-k, k) if reach >> (target + d) & 1)
     taken: dict[int, int] = {}
-    for size, take, before in reversed(steps):
-        if not before >> best & 1:
-            best -= size * take
-            taken[size] = taken.get(size, 0) + take
+    for at in range((len(kept) - 1) * span, -1, -span):
+        block, before = steps[at : at + span], [kept.pop()]
+        for size, take in block[:-1]:
+            before.append((before[-1] | (before[-1] << (size * take))) & limit)
+        for (size, take), was in zip(reversed(block), reversed(before)):
+            if not was >> best & 1:
+                best -= size * take
+                taken[size] = taken.get(size, 0) + take
     return taken
 
 
+def split_counts(hist: dict[int, int], shares: list[float], *, most: int = 1 << 22, keep: int = 64) -> list[dict[int, int]]:
+    """For every split but the last, how many components of each size it takes; ``shares`` sum to one.
+
+    The first total is as close to its share as the sizes allow, the next as close as what is left allows. Beyond
+    ``most`` records, all but ``keep`` components of each size are first shared out in proportion and the largest of
+    the rest go where most is missing, so that the bitsets span ``most`` at the most. That stands only if every total is
+    the multiple of the sizes' common divisor that is nearest to its share, which no choice betters; else the bitsets run over all.
+    """
+    total = sum(s * m for s, m in hist.items())
+    goals = [round(total * x) for x in shares[:-1]]
+
+    def exact(rest: dict[int, int], goals: list[int]) -> list[dict[int, int]]:
+        rest, out = dict(rest), []
+        for goal in goals:
+            out.append(subset_counts(rest, goal))
+            for size, many in out[-1].items():
+                rest[size] -= many
+        return out
+
+    if total <= most or not goals:
+        return exact(hist, goals)
+    unit = math.gcd(*hist)
+    bulk = [{s: math.floor(max(0, m - keep) * x) for s, m in hist.items()} for x in shares]
+    pool = {s: m - sum(b[s] for b in bulk) for s, m in hist.items()}
+    missing = [g - sum(s * m for s, m in b.items()) for g, b in zip([*goals, total - sum(goals)], bulk)]
+    left = sum(s * m for s, m in pool.items())
+    for s in sorted(pool, reverse=True):
+        while pool[s] and left > most:
+            i = max(range(len(shares)), key=missing.__getitem__)
+            bulk[i][s] += 1
+            pool[s] -= 1
+            missing[i] -= s
+            left -= s
+    if min(missing) >= 0:
+        for b, more in zip(bulk, exact(pool, missing[:-1])):
+            for s, m in more.items():
+                b[s] += m
+        if all(sum(s * m for s, m in b.items()) == unit * -((unit - 2 * g) // (2 * unit)) for g, b in zip(goals, bulk)):
+            return bulk[:-1]
+    return exact(hist, goals)
+
+
 def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], *, seed: int = 0, unit_bits: int = 22) -> DataFrame:
     """(rid, split): whole components, totals as close to the target shares as the sizes allow.
 
-    Totals are exact up to 2**unit_bits records; beyond that sizes are counted in units, and the components
-    smaller than a unit, which are many, are shared out by the same proportions.
+    Totals are exact at every size; ``split_counts`` says what changes beyond 2**unit_bits records.
     """
     spark = groups.sparkSession
     keyed = groups.withColumn("component", F.coalesce(F.concat(F.lit("e:"), F.col("root")), F.concat(F.lit("r:"), F.col("rid"))))
     sized = cut(keyed.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     hist = {r["size"]: r["many"] for r in sized.groupBy("size").agg(F.count("*").alias("many")).collect()}
-    total = sum(s * m for s, m in hist.items())
-    unit = max(1, -(-total // (1 << unit_bits)))
     whole = sum(max(0.0, w) for _, w in targets) or 1.0
-    rest, plan = dict(hist), []
-    for name, share in sorted(targets, key=lambda t: t[1])[:-1]:
-        goal = round(total * max(0.0, share) / whole)
-        if unit == 1:
-            taken = subset_counts(rest, goal)
-        else:
-            small = {s: round(m * share / whole) for s, m in rest.items() if s < unit}
-            units: dict[int, list[int]] = {}
-            for s in (s for s in rest if s >= unit):
-                units.setdefault(round(s / unit), []).append(s)
-            chosen = subset_counts({u: sum(rest[s] for s in ss) for u, ss in units.items()}, max(0, round((goal - sum(s * m for s, m in small.items())) / unit)))
-            taken = {s: m for s, m in small.items() if m}
-            for u, m in chosen.items():
-                for s in units[u]:
-                    taken[s] = min(m, rest[s])
-                    m -= taken[s]
-        for size, many in taken.items():
-            plan.append((size, name, many))
-            rest[size] -= many
-    last = max(targets, key=lambda t: t[1])[0] if targets else None
+    ordered = sorted(targets, key=lambda t: t[1])
+    counts = split_counts(hist, [max(0.0, w) / whole for _, w in ordered], most=1 << unit_bits) if hist else []
+    plan = [(size, name, many) for (name, _), taken in zip(ordered, counts) for size, many in taken.items() if many]
+    last = ordered[-1][0] if ordered else None
     # Ranks within a size without one task for all components of that size: counts of hashed cells, then ranks inside cells.
     cells = sized.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(1024)))
     offsets = cells.groupBy("size", "cell").agg(F.count("*").alias("n"))
