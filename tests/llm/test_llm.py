@@ -96,6 +96,19 @@ def test_residue(spark):
     assert got == set(bad)
 
 
+def test_residue_in_sentences_about_templates(spark):
+    df, bad = pages(spark)
+    rows = []
+    for i, x in enumerate(itertools.product(NAMES, ["mill", "canal", "pier"])):
+        rows.append((1000 + i, f"A template writes {{{{ name }}}} where the {x[1]} value goes, and the renderer swaps it.\n{x[0]} saw it."))
+        rows.append((1100 + i, f"{x[0]} repaired the old {{{{ thing }}}} near the {x[1]} within 4 days of the vote."))
+    rows += [(1200, "A template writes {{ name }} where __HEADLINE__ mill value goes, and the renderer swaps it."), (1201, "A template writes {{ name }} where the old {{publishDate}} near the mill goes, and the renderer swaps it."), (1202, "Ralo copied a manual of the old {{ place }} near the harbour.")]
+    more = spark.createDataFrame([(i, f"https://host{i % 6}name.test/a{i}", t, 200, "", "") for i, t in rows], PAGE)
+    all_rows = page_rows(df.unionByName(more))
+    got = {r.row_id for r in all_rows.join(residue_docs(distinct_texts(all_rows)), ["doc", "size"], "left_semi").select("row_id").collect()}
+    assert got == set(bad) | set(range(1100, 1124)) | {1200, 1201, 1202}
+
+
 def test_pages_empty(spark):
     texts = distinct_texts(page_rows(spark.createDataFrame([], PAGE)))
     assert residue_docs(texts).count() == 0 and content_lines(texts).count() == 0

@@ -5,7 +5,8 @@ short records delivered with an error status, on two hosts and in ``usual`` of t
 common elsewhere, and short passages with a fixed error or filler cue or a
 placeholder standing alone; all others are unlabelled. Words, word pairs and line ends are features, hashed into
 a fixed number of buckets, so that the model has a proven size and may be broadcast. Placeholders inside a
-sentence are judged by their neighbouring words, against trusted sentences that write about templates.
+sentence are judged one by one by their neighbouring words, against trusted sentences that write about templates;
+a word of such sentences lowers the prior of their slots and decides nothing alone.
 
 Only fitting reads a bounded sample of distinct passages (``sample``); counts per passage and scores cover all.
 
@@ -153,10 +154,13 @@ def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2
     # A slot with the two words on either side of it, and whether it stands (nearly) alone or in a sentence about templates.
     around = F.explode(F.regexp_extract_all("passage", F.lit(r"(?:[^\s⟦⟧]+\s+){0,2}⟦⟧(?:\s*[^\s⟦⟧]+){0,2}"), 0))
     words = F.size(F.split("passage", r"\s+"))
-    near = known.where("slot").select("pid", "n", F.when(F.col("passage").rlike(ABOUT), 0.02).when(words <= 4, 0.98).otherwise(0.9).alias("prior"), around.alias("w"))
+    # Such a sentence writes about one slot; a further one in it may well be a left-over.
+    many = F.size(F.split("passage", "⟦⟧")) > 2
+    about = F.when(many, 0.2).otherwise(0.02)
+    near = known.where("slot").select("pid", "n", F.when(F.col("passage").rlike(ABOUT), about).when(words <= 4, 0.98).otherwise(0.9).alias("prior"), around.alias("w"))
     near = cut(near.select("pid", F.col("n").cast("double"), "prior", features(F.col("w")).alias("features")), "slots")
     slots = NaiveBayes(_sampled(near, "pid", sample))
     odds = F.log(F.col("prior") / (1 - F.col("prior")))
-    unfilled = slots.score(near).where((F.col("llr") + odds > 0) & (F.col("prior") > 0.1)).select("pid")
+    unfilled = slots.score(near).where(F.col("llr") + odds > 0).select("pid")
     found = cut(bad.unionByName(unfilled).distinct(), "found")
     return each.select(*DOC, F.xxhash64("passage").alias("pid")).join(found, "pid", "left_semi").select(*DOC).distinct()
