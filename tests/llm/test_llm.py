@@ -315,3 +315,15 @@ def test_truncation(spark):
     got = {r.doc_id for r in truncated(df).where("cut").collect()}
     assert got == set(want)
     assert truncated(df.limit(0)).count() == 0
+
+
+def test_cut_lines_that_end_as_some_heading_does(spark):
+    rng = random.Random(31)
+    name = lambda: rng.choice(NAMES)
+    rows = []
+    for i in range(200):
+        first = f"{name()} returns to the {name()} reservoir\n" if i % 10 == 0 else ""
+        last = f"Prices at the {name()} reservoir" if i in (3, 4, 5) else f"{name()} returns to the {name()} reservoir" if i in (6, 7) else f"Prices at the {name()} reservoir fell within {i} days."
+        rows.append((i, f"{first}{name()} repaired the mill within {i} days.\n{last}", "a"))
+    got = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("cut").collect()}
+    assert got == {3, 4, 5}

@@ -2,10 +2,11 @@
 
 Per source, histograms of the lengths in characters and in bytes are tested for spikes: a
 length that holds several times as many values as the lengths around it. Values at a spike that do not end a
-sentence are flagged. Away from spikes an exact check looks at the last segment: a remnant (half a character,
+sentence or a set phrase are flagged. Away from spikes an exact check looks at the last segment: a remnant (half a character,
 tag or entity, an opening bracket) or an unfinished sentence is flagged, a heading, list line, link, sign-off or
 set phrase is not. What counts as a set phrase or a heading is learned from all texts: a set phrase stands on its
-own nearly whenever its first words occur; a heading ends as lines inside other texts end.
+own nearly whenever its first words occur; a heading ends as lines inside other texts end, with words that more often
+end lines than go on, or begins as mostly headings do. At a spike the bar is lower: only a set phrase spares a value.
 
 Defined results: null, empty and blank texts are never flagged; repeated texts are counted once for learning and
 all flagged alike, as are rows that repeat an id; a null source is the source ""; ties between lengths do not matter; whole texts are read.
@@ -42,6 +43,14 @@ def _last(words: Column, k: int) -> Column:
     return F.array_join(F.slice(words, F.greatest(F.size(words) - k + 1, F.lit(1)), k), " ")
 
 
+def _inside(bare: Column) -> list[Column]:
+    """Keys of the runs of three words, and of the Korean words, of ``bare``; slices beside one another, so the work stays linear in its words."""
+    n = F.greatest(F.size(bare) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(bare, F.lit(1), n), F.slice(bare, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    threes = F.zip_with(pairs, F.slice(bare, F.lit(3), n), lambda a, b: F.xxhash64(F.lit("in"), F.concat(a, F.lit(" "), b)))
+    return [threes, F.transform(F.filter(bare, lambda x: x.rlike(r"[가-힣]")), lambda x: F.xxhash64(F.lit("in"), x))]
+
+
 def length_spikes(docs: DataFrame, *, ratio: float = 3.0, least: int = 6, around: int = 12) -> DataFrame:
     """(source, unit, length, values): lengths that hold ``ratio`` times as many values as the mean of the lengths around them."""
     units = docs.select("source", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "length"))
@@ -51,8 +60,11 @@ def length_spikes(docs: DataFrame, *, ratio: float = 3.0, least: int = 6, around
     return tested.where((F.col("values") >= least) & (F.col("values") >= ratio * F.greatest(F.col("others"), F.lit(1.0)))).select("source", "unit", "length", "values")
 
 
-def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cut): every document with some text and whether it was cut off."""
+def truncated(documents: DataFrame, *, title: float = 0.5) -> DataFrame:
+    """(doc_id, source, cut): every document with some text and whether it was cut off.
+
+    ``title``: the share from which last words count as those of a heading, or first words as those of one.
+    """
     text = F.rtrim(F.col("text"), F.lit(" \t\r\n\f\u00a0\u3000"))
     base = documents.select("doc_id", F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source"), F.col("text").alias("whole"), text.alias("t")).where("t <> ''")
     docs = base.select("doc_id", "source", "whole", "t", F.length("whole").alias("chars"), F.octet_length("whole").alias("bytes"), F.xxhash64("whole").alias("h"))
@@ -60,12 +72,18 @@ def truncated(documents: DataFrame) -> DataFrame:
     # All segments of all distinct texts: sentences of lines, the last line apart.
     texts = docs.groupBy("h").agg(F.first("t").alias("t"))
     lines = texts.select("h", F.posexplode(F.split("t", r"\n")).alias("at", "line"), (F.size(F.split("t", r"\n")) - 1).alias("end"))
-    segments = lines.select("h", "at", "end", F.posexplode(F.split("line", r"(?<=[.!?。])\s+")).alias("nth", "seg"))
+    segments = lines.select((F.col("at") < F.col("end")).alias("inner"), F.posexplode(F.split("line", r"(?<=[.!?。])\s+")).alias("nth", "seg"))
     words = F.split(_skeleton(F.col("seg")), " ")
-    segments = segments.select("h", F.col("nth") == 0, words.alias("w")).toDF("h", "alone", "w").where("size(w) > 0 and w[0] <> ''")
-    sizes = F.explode(F.expr(f"sequence(1, least(size(w), {LONGEST}))")).alias("k")
-    starts = segments.select("alone", "w", sizes).select(F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " ")).alias("p"), (F.col("k") == F.size("w")).alias("same"), "alone")
-    starts = cut(starts.groupBy("p").agg(F.count("*").alias("starting"), F.sum(F.col("same").cast("int")).alias("same"), F.sum((F.col("same") & F.col("alone")).cast("int")).alias("own_line")), "starts")
+    titled = F.col("inner") & (F.col("nth") == 0) & ~F.substring(F.rtrim("seg"), -12, 12).rlike(TERMINAL)  # a line inside a text that ends no sentence
+    segments = segments.select((F.col("nth") == 0).alias("alone"), titled.alias("titled"), words.alias("w")).where("size(w) > 0 and w[0] <> ''")
+    followed = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x: F.regexp_replace(x, r"[,;:]+$", ""))
+    segments = segments.select("alone", "titled", "w", F.slice("w", 1, LONGEST).alias("head"), followed.alias("followed"))
+    # One pass for the beginnings of segments and for what their words say before other words.
+    no = F.lit(False)
+    begun = F.transform(F.expr(f"sequence(1, least(size(w), {LONGEST}))"), lambda k: F.struct(F.xxhash64(F.array_join(F.slice("head", F.lit(1), k), " ")).alias("p"), (k == F.size("w")).alias("same"), F.col("alone").alias("alone"), F.col("titled").alias("titled")))
+    inside = [F.transform(runs, lambda e: F.struct(e.alias("p"), no.alias("same"), no.alias("alone"), no.alias("titled"))) for runs in _inside(F.col("followed"))]
+    starts = segments.select(F.explode(F.concat(begun, *inside)).alias("s")).select("s.*")
+    starts = cut(starts.groupBy("p").agg(F.count("*").alias("starting"), F.sum(F.col("same").cast("int")).alias("same"), F.sum((F.col("same") & F.col("alone")).cast("int")).alias("own_line"), F.sum(F.col("titled").cast("int")).alias("titled")), "starts")
     inner = lines.where("at < end").select("h", F.rtrim("line").alias("line")).where(~F.substring("line", -12, 12).rlike(TERMINAL))
     inner_words = F.split(_skeleton(F.col("line")), " ")
     ends = inner.select(F.explode(F.array(F.xxhash64(_last(inner_words, 3)), F.xxhash64(F.lit("ko"), F.when(_last(inner_words, 1).rlike(r"[가-힣]"), _last(inner_words, 1))))).alias("e"), "h").groupBy("e").agg(F.countDistinct("h").alias("ending"))
@@ -80,17 +98,25 @@ def truncated(documents: DataFrame) -> DataFrame:
     tails = tails.withColumn("w", F.split(_skeleton(F.col("tail")), " ")).withColumn("n", F.size("w"))
     tails = tails.withColumn("p", F.when(F.col("n") <= LONGEST, F.xxhash64(F.array_join("w", " ")))).withColumn("p1", F.when((F.col("n") > 1) & (F.col("n") <= LONGEST), F.xxhash64(F.array_join(F.slice("w", 1, F.col("n") - 1), " "))))
     tails = tails.withColumn("e3", F.xxhash64(_last(F.col("w"), 3))).withColumn("e1", F.xxhash64(F.lit("ko"), _last(F.col("w"), 1)))
+    tails = tails.withColumn("p3", F.when(F.col("n") > 3, F.xxhash64(F.array_join(F.slice("w", 1, 3), " ")))).withColumn("i3", F.xxhash64(F.lit("in"), _last(F.col("w"), 3))).withColumn("i1", F.xxhash64(F.lit("in"), _last(F.col("w"), 1)))
     open_ = cut(tails.where("remnant or not ended"), "tails")
 
     judged = open_.join(starts.select("p", "starting", "same", "own_line"), "p", "left").join(starts.select(F.col("p").alias("p1"), F.col("starting").alias("before")), "p1", "left")
     judged = judged.join(ends.select(F.col("e").alias("e3"), F.col("ending").alias("end3")), "e3", "left").join(ends.select(F.col("e").alias("e1"), F.col("ending").alias("end1")), "e1", "left")
+    for n in (3, 1):
+        judged = judged.join(starts.select(F.col("p").alias(f"i{n}"), F.col("starting").alias(f"inside{n}")), f"i{n}", "left")
+    judged = judged.join(starts.select(F.col("p").alias("p3"), (F.col("titled") / F.col("starting")).alias("titles")), "p3", "left")
     spikes = cut(length_spikes(docs.dropDuplicates(["source", "h"])), "spikes")
     at = lambda unit: spikes.where(F.col("unit") == unit).select("source", F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}"))
     judged = judged.join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
 
     many = F.coalesce("same", F.lit(0))
     phrase = F.when(F.col("n") == 1, (many >= 3) & (F.col("own_line") >= 0.25 * many) & (many >= 0.5 * F.col("starting"))).otherwise((many >= 2) & (many >= 0.5 * F.col("starting")) & (many >= 0.3 * F.coalesce("before", F.lit(0))))
-    heading = F.col("alone") & ((F.coalesce("end3", F.lit(0)) >= 2) & (F.col("n") >= 3) | (F.coalesce("end1", F.lit(0)) >= 2) & F.element_at("w", -1).rlike(r"[가-힣]"))
+    # Shares, so that the bar stays where it is as texts grow in number: lines that end so among all places that say so, titles among all segments that begin so.
+    ending = lambda n: F.coalesce(f"end{n}", F.lit(0)) >= 2
+    closes = lambda n: F.col(f"end{n}") >= title * (F.col(f"end{n}") + F.coalesce(f"inside{n}", F.lit(0)))
+    latin = ending(3) & (F.col("n") >= 3) & (closes(3) | (F.coalesce("titles", F.lit(0.0)) >= title))
+    heading = F.col("alone") & (latin | ending(1) & closes(1) & F.element_at("w", -1).rlike(r"[가-힣]"))
     listed = F.col("alone") & F.col("tail").rlike(r"^(?:[-*•] |\d+[.)] |\|).*\d$|^[-*•] [\p{L} ]+$|^\p{L}+: (?:\S+ ){1,3}[\d,.]*\d$|\|\s*$")
     whole = F.coalesce(phrase, F.lit(False)) | heading | listed | F.col("tail").rlike(LINK)
     spike = F.coalesce("at_chars", "at_bytes", F.lit(False))
