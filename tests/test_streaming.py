@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidewell.plans.streams import event_windows
 from tidewell.session import scratch
 from tidewell.streaming.tables import run_to_table, stream_of, upsert_latest, windowed_counts
 
@@ -19,3 +20,11 @@ def test_windows_close_behind_the_watermark(spark):
     e = stream_of(spark, path).select(F.to_timestamp("ts").alias("ts"), "kind", "value")
     out = run_to_table(windowed_counts(e, F.col("ts"), ["kind"])).collect()
     assert sorted((r.kind, r.n, r.total) for r in out) == [("x", 1, 4.0), ("x", 2, 3.0)]
+
+
+def test_event_windows_do_not_depend_on_files(spark):
+    d = scratch(spark, "events")
+    for ts in ("2024-01-01 09:30:00", "2024-01-01 01:10:00", "2024-01-01 05:20:00", "2024-01-01 01:40:00"):
+        spark.createDataFrame([(ts, "x", 1.0)], "ts string, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{d}/events.parquet")
+    out = event_windows(spark, d).collect()
+    assert sorted((r.start, r.n) for r in out) == [("2024-01-01 01:00", 2), ("2024-01-01 05:00", 1)]

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from tidewell.session import scratch
 
 
-def stream_of(spark: SparkSession, path: str, *, files: int = 1) -> DataFrame:
-    """A table's parquet files as a stream of ``files`` per batch; ``path`` is a directory or one file."""
+def stream_of(spark: SparkSession, path: str, *, files: int | None = 1) -> DataFrame:
+    """A table's parquet files as a stream of ``files`` per batch, or all of a run in one; ``path`` is a directory or one file."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     single = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     if single:  # a stream watches directories
         return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
     return reader.parquet(path)
