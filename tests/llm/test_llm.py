@@ -55,6 +55,59 @@ def test_consensus_beats_majority_with_bad_judges(spark):
     assert rel["g1"] > rel["n1"] > rel["bad"]
 
 
+def test_consensus_of_communities_a_copier_and_annotators_with_few_labels(spark):
+    rng = random.Random(37)
+    kinds = {"honest": (0.9, 0.9), "lenient": (0.97, 0.55), "inverted": (0.2, 0.25)}
+    who = {f"{k}{i}": k for k in kinds for i in range(4)} | {f"few{i}": "honest" if i % 2 else "inverted" for i in range(10)}
+    rows, truth = [], {}
+    for i in range(600):
+        truth[str(i)] = rng.random() < 0.45
+        said = {}
+        for j, kind in who.items():
+            if (rng.random() < 0.35) if not j.startswith("few") else i % 120 == int(j[3:]):
+                said[j] = truth[str(i)] == (rng.random() < kinds[kind][truth[str(i)]])
+        if "lenient0" in said:  # three that repeat a lenient one
+            said |= {f"copier{c}": said["lenient0"] if rng.random() < 0.9 else rng.random() < 0.5 for c in range(3)}
+        rows += [(str(i), j, "INCORRECT" if v else "CORRECT", "1", "", "") for j, v in said.items()]
+    c = Consensus(votes(spark, rows), ["CORRECT", "INCORRECT"], tolerance=1e-4)
+    got = {r.q: r.consensus == "INCORRECT" for r in c.items.collect()}
+    ours = sum(got[i] == truth[i] for i in got) / len(got)
+    by = {i: [(r[1], r[2] == "INCORRECT") for r in rows if r[0] == i] for i in got}
+    majority = sum((2 * sum(v for _, v in vs) > len(vs)) == truth[i] for i, vs in by.items()) / len(got)
+    # A model of one coin per annotator, started from the majority.
+    belief = {i: (sum(v for _, v in vs) + 0.5) / (len(vs) + 1) for i, vs in by.items()}
+    for _ in range(30):
+        hit, n = {}, {}
+        for i, vs in by.items():
+            for j, v in vs:
+                n[j] = n.get(j, 2.0) + 1
+                hit[j] = hit.get(j, 1.0) + (belief[i] if v else 1 - belief[i])
+        for i, vs in by.items():
+            odds = 0.45 / 0.55
+            for j, v in vs:
+                a = min(0.99, max(0.01, hit[j] / n[j]))
+                odds *= (a / (1 - a)) ** (1 if v else -1)
+            belief[i] = odds / (1 + odds)
+    coin = sum((belief[i] > 0.5) == truth[i] for i in got) / len(got)
+    assert ours > majority + 0.03 and ours > coin + 0.01 and ours > 0.85
+    rel = {r.annotator: r for r in c.annotators.collect()}
+    four = ("lenient0", "copier0", "copier1", "copier2")
+    assert sum(rel[j].source in four for j in four) == 3  # whoever of the four counts as the source
+    # Five labels say little, so such annotators lean on a type; those of one type come out on the same side.
+    assert sum(rel[f"few{i}"].reliability for i in range(1, 10, 2)) > sum(rel[f"few{i}"].reliability for i in range(0, 10, 2)) + 0.1
+
+
+def test_checks_are_no_judges(spark):
+    from tidewell.llm.consensus_queries import holds_reference
+
+    cases = [("1,440", "It had 1440 people.", True), ("42", "It had 420 people.", False), ("라로", "대표는 라로였습니다", True), ("Ralo", "by RALO (page 2)", True), ("", "x", False), ("a", None, False)]
+    got = spark.createDataFrame([c[:2] for c in cases], "g string, a string").select(holds_reference(F.col("g"), F.col("a"))).collect()
+    assert [r[0] for r in got] == [c[2] for c in cases]
+    rows = [(str(i), j, "CORRECT" if (i + n) % 3 else "INCORRECT", "1", "", "") for i in range(30) for n, j in enumerate("abz")]
+    c = Consensus(votes(spark, rows), ["CORRECT", "INCORRECT"], checks=("z",))
+    assert {r.n_labels for r in c.items.collect()} == {2} and {r.annotator for r in c.annotators.collect()} == {"a", "b", "z"}
+
+
 def test_consensus_empty(spark):
     c = Consensus(votes(spark, []), ["CORRECT", "INCORRECT"])
     assert c.items.count() == 0 and c.annotators.count() == 0
