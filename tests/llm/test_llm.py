@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.boilerplate import content_lines, main_lines
 from tidewell.llm.consensus import Consensus, usable_labels
-from tidewell.llm.crosssplit import Speller, cross_split_pairs, distance, words_of
+from tidewell.llm.crosssplit import Speller, cross_split_pairs, distance, ko_stem, letters_of
 from tidewell.llm.groups import assign_splits, components, named_entities, record_groups, split_counts, subset_counts
-from tidewell.llm.mixing import mix, sainte_lague
+from tidewell.llm.mixing import apportion_shards, mix, sainte_lague
 from tidewell.llm.packing import best_fit, pack
 from tidewell.llm.pages import distinct_texts, page_rows
 from tidewell.llm.pairs import defects
@@ -183,7 +183,7 @@ def test_main_lines_keeps_windows_line_ends_and_finds_nothing_in_menus():
 
 
 def test_pair_defects(spark):
-    en = ["what was the level of the river in the spring and who kept the register of the town", "the keeper of the archive printed the entry for the whole year", "how many people lived in the town at the end of the year"]
+    en = ["what was the level of the river in the spring and who kept the register of the town", "the keeper of the archive printed the entry for the whole year", "how many people lived in the town at the end of the year", "the register kept by the town clerk and copied by two later pages had the inhabitants of the year", "seventeen people lived here but the two pages disagree"]
     ko = ["지난해 마을에는 몇 명이 살았나요", "강의 수위는 얼마였나요", "문서에는 값이 적혀 있습니다"]
     labelled = spark.createDataFrame([("en", t) for t in en * 5] + [("ko", t) for t in ko * 5], "lang string, text string")
     cases = [
@@ -193,7 +193,7 @@ def test_pair_defects(spark):
         ("How many people lived in Ralo in 2010?", "The clerk declined to answer earlier queries, but Ralo had 17 inhabitants.", None), ("How many people lived in Ralo in 2010?", "The register kept by the town clerk and copied by two later pages gives (17 for", "truncated"),
         ("How many people lived in Ralo in 2010?", "Two pages disagree, e.g.", "truncated"), ("How many people lived in Ralo in 2010?", "문서에는 17로 적혀 있습니다.", "other_language"), ("How many people lived in Ralo in 2010?", "Laut den Unterlagen lautet der Wert für Ralo 17.", "other_language"),
         (None, "INSUFFICIENT_CONTEXT", "refusal"), (None, "Seventeen people.", None), ("q", "w " * 50_000 + "end.", None),
-    ]
+    ] + [(f"How many people lived in {n} in the year {y}?", f"In the year {y} the town of {n} had 17 inhabitants.", None) for n in NAMES[3:] for y in (2011, 2012)]
     df = spark.createDataFrame([(i, q, a, "old", 1) for i, (q, a, _) in enumerate(cases)] + [(0, cases[0][0], cases[0][1], "old", 1)], "i int, prompt string, response string, defect string, pid int")
     out = defects(df, labelled).collect()
     assert len(out) == len(cases) + 1
@@ -280,8 +280,10 @@ def test_splits_beyond_the_first_bitset(spark):
 def test_distance_and_speller():
     assert distance("whta", "what", 2) == 1 and distance("abc", "xyz", 2) == 3 and distance("", "ab", 2) == 2
     s = Speller({"many": 500, "books": 300, "what": 900})
-    assert [s.mend(w) for w in ("mnay", "boks", "whta", "Benuti", "2010", "the")] == ["many", "books", "what", "Benuti", "2010", "the"]
-    assert words_of("안녕하세요. 2011년 7월  라로의 매출은 얼마였습니까 ㅠㅠ") == words_of("2011년7월 라로의 매출은얼마였나요?")
+    assert [s.mend(w)[0] for w in ("mnay", "boks", "whta", "Benuti", "2010", "the")] == ["many", "books", "what", "Benuti", "2010", "the"]
+    assert Speller({"book": 9, "look": 5}).mend("zook") == ("book", True)
+    assert letters_of("안녕하세요. 2011년 7월  라로의 매출은 얼마였습니까 ㅠㅠ") == letters_of("2011년7월 라로의 매출은얼마였나요?")
+    assert [ko_stem(w) for w in ("라로의", "매출은", "가수이", "얼마였습니까", "의")] == ["라로", "매출", "가수이", "얼마였", "의"]
 
 
 def test_cross_split_pairs(spark):
@@ -295,6 +297,24 @@ def test_cross_split_pairs(spark):
     assert cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_cross_split_pairs_reach_every_order_ending_and_slip(spark):
+    """Short and Korean questions against brute force over what the statement allows."""
+    rows, want = [], set()
+    for n, name in enumerate(NAMES):
+        rows.append((f"t{n}", f"Who founded {name}?", True, False))
+        for k, text in enumerate((f"{name} founded who", f"who fuonded {name}", f"please, who founded the {name}?")):
+            rows.append((f"e{n}{k}", text, False, True))
+            want.add((f"t{n}", f"e{n}{k}"))
+    for n, name in enumerate(["라로메", "베누티", "코시루", "토다페", "무세라", "비로카"]):
+        rows.append((f"k{n}", f"2011년 {name}의 매출은 얼마였나요?", True, False))
+        for k, text in enumerate((f"{name}의 매출은 2011년에 얼마였습니까", f"2011년 {name} 매출은 얼마였나요", f"2011년 {name}의 매츨은 얼마였나요?", f"2011년{name}의매출은얼마였나요 감사합니다", f"2012년 {name}의 매출은 얼마였나요?", f"2011년 {name}의 손실은 얼마였나요?")):
+            rows.append((f"h{n}{k}", text, False, True))
+            if k < 4:
+                want.add((f"k{n}", f"h{n}{k}"))
+    got = {tuple(r) for r in cross_split_pairs(spark.createDataFrame(rows, "rid string, text string, in_train boolean, in_eval boolean"), common=0.15).collect()}
+    assert got == want
+
+
 # --- 8 and 9: packing and mixing -----------------------------------------------------------------------------------
 
 
@@ -318,6 +338,9 @@ def test_pack(spark, per_task):
         assert fills.max() <= cap and len(fills) <= 1.08 * fills.sum() / cap + 2
         assert own.groupby("id")["size"].sum().to_dict() == {i: s or 0 for i, s in items}
         assert set(own[own.id == 902]["size"]) <= {cap, 1000 % cap or cap}
+    if per_task == 100:  # rounds go on up the tree as one task would
+        one = pack(spark.createDataFrame(items, "id long, size int"), limits).groupBy("packing").agg(F.countDistinct("container").alias("n")).collect()
+        assert all(out[out.packing == r.packing].container.nunique() <= 1.02 * r.n + 1 for r in one)
     assert set(out.packing) == {"a", "b"} and set(out[out.container.isna()].id) == {900, 901}
     assert pack(spark.createDataFrame([], "id long, size int"), limits).count() == 0
 
@@ -338,6 +361,39 @@ def test_mix(spark):
     assert mix(spark.createDataFrame([], "id long, source string, tokens int"), targets).count() == 0
 
 
+def test_sainte_lague_is_that_of_the_quotients_one_by_one():
+    rng = random.Random(41)
+    for _ in range(50):
+        weights = [rng.choice([rng.random(), float(rng.randrange(1, 4)), 0.0]) for _ in range(6)]
+        caps, seats = [rng.randrange(0, 40) for _ in range(6)], rng.randrange(0, 150)
+        held = [0] * 6
+        for _ in range(seats):
+            open_ = [i for i in range(6) if weights[i] > 0 and held[i] < caps[i]]
+            if open_:
+                held[max(open_, key=lambda i: (weights[i] / (2 * held[i] + 1), -i))] += 1
+        assert sainte_lague(weights, seats, caps) == held
+
+
+def test_shards_are_apportioned_as_on_one_machine(spark):
+    rng = random.Random(43)
+    parts = [("a", i, rng.randrange(50, 400), rng.randrange(1, 9)) for i in range(60)] + [("b", i, 100, 3) for i in range(40)]
+    df = spark.createDataFrame(parts, "source string, shard long, t long, cap long")
+    got = {(r.source, r.shard): int(r.q) for r in apportion_shards(df, {"a": 171, "b": 57}).collect()}
+    for name, seats in (("a", 171), ("b", 57)):
+        own = [p for p in parts if p[0] == name]
+        want = sainte_lague([float(p[2]) for p in own], seats, [p[3] for p in own])
+        assert [got[name, p[1]] for p in own] == want
+
+
+def test_mix_with_more_shards_than_blocks(spark):
+    rng = random.Random(47)
+    rows = [(i, "big" if i % 4 else "small", rng.randrange(1, 60)) for i in range(20_000)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    out = mix(spark.createDataFrame(rows, "id long, source string, tokens int"), targets, per_shard=40, least_blocks=200, total=200_000).toPandas()
+    used = (out.tokens * out.uses).groupby(out.source).sum()
+    assert abs(used["big"] / used.sum() - 0.5) < 0.01 and abs(used.sum() / 200_000 - 1) < 0.02
+
+
 def test_tokens(spark):
     got = with_tokens(spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "text string")).collect()
     assert [r.tokens for r in got][:3] == [2, 0, 0] and got[3].tokens > 1

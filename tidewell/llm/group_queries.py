@@ -29,7 +29,7 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions per split and share beside the target."""
     counts = p5_splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_questions"))
     whole = counts.agg(F.sum("n_questions").alias("n_all"))
-    return counts.crossJoin(F.broadcast(whole)).join(table(spark, sf_dir, "split_targets"), "split", "right").select("split", F.coalesce("n_questions", F.lit(0)).alias("n_questions"), (F.coalesce("n_questions", F.lit(0)) / F.col("n_all")).alias("share"), "target_share")
+    return counts.crossJoin(whole).join(table(spark, sf_dir, "split_targets"), "split", "right").select("split", F.coalesce("n_questions", F.lit(0)).alias("n_questions"), (F.coalesce("n_questions", F.lit(0)) / F.col("n_all")).alias("share"), "target_share")
 
 
 QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares}

@@ -40,7 +40,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual share of each target source beside its target."""
     used = p9_mix(spark, sf_dir).groupBy("source").agg(F.sum(F.col("tokens").cast("long") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"))
     whole = used.agg(F.sum("tokens_used").alias("all_used"))
-    joined = table(spark, sf_dir, "mix_targets").join(used, "source", "left").crossJoin(F.broadcast(whole))
+    joined = table(spark, sf_dir, "mix_targets").join(used, "source", "left").crossJoin(whole)
     return joined.select("source", "target_share", "max_repeats", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), (F.coalesce("tokens_used", F.lit(0)) / F.col("all_used")).alias("actual_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
 
 

@@ -1,12 +1,16 @@
 """Broken prompt and response pairs: empty, copied, refusing, truncated or in another language.
 
 Language: a naive Bayes over character n-grams gives the posteriors of prompt and response; they are compared
-where the response is a sentence, without the names it shares with the prompt. The model's n-grams are hashed
-into a fixed number of buckets, so it has a proven size and may be broadcast; it is fitted on at most ``sample``
-texts with a language label and on short fixed word lists for languages without labelled texts.
+where the response is a sentence, without the names it shares with the prompt. The languages are those of the
+labelled texts and one more class for all languages without labelled texts, in which nearly all words are new to the
+prompt's language; which and how many words of its own responses are new is learned from responses. The model's n-grams and
+words are hashed into a fixed number of buckets, so it has a proven size and may be broadcast; it is fitted on at most
+about ``sample`` labelled texts and as many responses. A prompt whose own language is unclear (mostly names) decides nothing.
 
-Truncation: the likelihood that a text ends after its last words, from the ends of all responses. A response
-without a final stop is whole if the same wording ends with a stop elsewhere or its last words usually end texts.
+Truncation: the likelihood that a text ends after its last words, from the ends of all responses, with back-off from
+three words to two and one. A response without a final stop is whole if the same wording ends with a stop elsewhere
+or its last words end texts at least as often as they go on; one of a few words is a bare value unless it is how
+longer responses begin.
 
 Defined results: a null response is empty; a null or unknown prompt leaves only empty, refusal and truncated to
 be found; one defect per response, in the order empty, copy, refusal, truncated, other language; repeated rows
@@ -30,17 +34,8 @@ from pyspark.sql import functions as F
 
 from tidewell.session import cut
 
-BUCKETS = 1 << 16
-
-# Frequent words of languages that no labelled text covers.
-WORDS = {
-    "de": "der die das den dem des ein eine einen einem einer und oder nicht ist war sind waren hat hatte haben wird wurde werden mit von für auf aus bei nach zu zum zur über unter laut lautet sich auch als wie noch nur aber wenn dass unterlagen wert angaben beträgt jahr dort diese dieser",
-    "fr": "le la les l un une des du de et ou ne pas est était sont ont avait dans avec pour par sur sous selon au aux ce cette ces qui que dont plus aussi comme mais si leur archives valeur relevée année document indique fut été être fait",
-    "es": "el la los las un una unos de del y o no es era son fue ha han con por para en sobre según al este esta estos ese esa que como más también pero si su sus documentos consultados indican periodo valor año dato registro muestra",
-    "it": "il lo la gli le un una di del della dei delle e o non è era sono ha hanno con per in su secondo al alla questo questa che come più anche ma se suo sua documenti indicano valore anno periodo registro risulta",
-    "pt": "o a os as um uma de do da dos das e ou não é era são foi tem com por para em no na sobre segundo ao este esta que como mais também mas se seu sua documentos indicam período valor ano registro consta",
-    "nl": "de het een en of niet is was zijn waren heeft had met van voor op uit bij naar te over onder volgens zich ook als nog maar dat die deze dit stukken noemen periode waarde jaar wordt werd",
-}
+BUCKETS, WORDS = 1 << 16, 1 << 18
+
 # How responses decline; sentences that go on to answer do not use these forms.
 REFUSAL = re.compile(
     r"insufficient[_ ]context|\b(i am|i'm|we are|we're) (sorry,? (but )?(i|we) )?(not able|unable)\b|\b(i|we) (can't|cannot|can not|could not|couldn't|don't know|do not know|do not have|don't have|have no (data|information|answer)|must decline|have to decline|won't|decline)\b"
@@ -76,56 +71,116 @@ def _grams(text: str) -> list[int]:
     return out
 
 
+def _word(word: str) -> int:
+    """Bucket of a word; of a Korean word the last two syllables count."""
+    if re.search("[가-힣]", word):
+        word = word[-2:]
+    return zlib.crc32(word.casefold().encode()) % WORDS
+
+
+def _some(rows: DataFrame, key: str, sample: int) -> DataFrame:
+    """About ``sample`` of the rows, by hash."""
+    n = max(1, rows.count())
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000))
+
+
 class LanguageModel:
     """Naive Bayes over hashed character n-grams; the labelled texts are counted on Spark."""
 
     def __init__(self, labelled: DataFrame, sample: int = 4000):
-        n = max(1, labelled.count())
-        held = labelled.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000))
+        held = _some(labelled, "text", sample)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                pairs = [(lang, g) for lang, t in zip(b.lang, b.text) for g in _grams(" ".join(w for w in (t or "").split() if not w[:1].isupper()))]
+                pairs = []
+                for lang, t in zip(b.lang, b.text):
+                    words = [w for w in (t or "").split() if not w[:1].isupper()]
+                    pairs += [(lang, g) for g in _grams(" ".join(words))]
+                    pairs += [(lang, BUCKETS + g) for g in {_word(w) for x in words for w in re.findall(r"[^\W\d_]+", x)}]
                 yield pd.DataFrame(pairs, columns=["lang", "gram"])
 
-        counts = held.select("lang", "text").mapInPandas(run, "lang string, gram int").groupBy("lang", "gram").count().toPandas()  # at most labels x BUCKETS rows
-        self.langs = sorted({*counts.lang, *WORDS})
-        table = np.zeros((len(self.langs), BUCKETS))
+        counts = held.select("lang", "text").mapInPandas(run, "lang string, gram int").groupBy("lang", "gram").count().toPandas()  # at most labels x (BUCKETS + WORDS) rows
+        self.langs = sorted({*counts.lang})
+        table, self.seen = np.zeros((len(self.langs), BUCKETS)), np.zeros((len(self.langs), WORDS), dtype=bool)
         for lang, gram, c in counts.itertuples(index=False):
-            table[self.langs.index(lang), gram] += c
-        for lang, words in WORDS.items():
-            np.add.at(table[self.langs.index(lang)], np.array(_grams(words)), 1.0)
+            if gram < BUCKETS:
+                table[self.langs.index(lang), gram] += c
+            else:
+                self.seen[self.langs.index(lang), gram - BUCKETS] = c > 1  # once may be a slip
         # A gram's presence counts, not how often a bounded sample repeats it: counts are damped.
         table = np.log1p(table)
         share = table / np.maximum(table.sum(1, keepdims=True), 1.0)
         self.log_p = np.log(0.9 * share + 0.1 / BUCKETS)  # what is unseen tells nothing, however large a language's sample
+        self.new = np.full(len(self.langs), 0.5)
+
+    def learn_new(self, pairs: DataFrame, sample: int) -> None:
+        """How often words of responses are new to their prompt's language, from about ``sample`` responses.
+
+        A word that labelled texts lack is not new if it mostly stands in responses that are familiar otherwise.
+        """
+        rows = []
+        for r in _some(pairs, "response", sample).select("prompt", "response").collect():  # a bounded sample
+            words, asked = _sentence_words(r["prompt"], r["response"]), self.asked(r["prompt"])
+            if len(words) >= 4 and len(asked) and asked.max() > 0.9:
+                rows.append((int(asked.argmax()), [_word(w) for w in words]))
+        for own in range(len(self.langs)):
+            held = [w for i, w in rows if i == own]
+            share = [sum(self.seen[own, x] for x in w) / len(w) for w in held]
+            if held:
+                bar, with_, alone = 0.5 * float(np.mean(share)), np.zeros(WORDS), np.zeros(WORDS)
+                for w, s in zip(held, share):
+                    (with_ if s >= bar and s > 0 else alone)[sorted(set(w))] += 1
+                self.seen[own] |= with_ > alone
+                self.new[own] = np.clip((sum(not self.seen[own, x] for w in held for x in w) + 1) / (sum(map(len, held)) + 2), 0.01, 0.8)
+
+    def unseen(self, words: list[str], lang: int, *, foreign: float = 0.95, prior: float = 0.02) -> float:
+        """Posterior that the words are of a language without labelled texts, against ``lang``."""
+        new = sum(not self.seen[lang, _word(w)] for w in words)
+        u = self.new[lang]
+        odds = np.log(prior / (1 - prior)) + new * np.log(foreign / u) + (len(words) - new) * np.log((1 - foreign) / (1 - u))
+        return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+
+    def asked(self, prompt: str) -> np.ndarray:
+        return self.posterior([w for w in re.findall(r"[^\W\d_]+", plain(prompt)) if not w[:1].isupper() or w.lower() in _ASKING])
+
+    def _scores(self, word: str) -> np.ndarray:
+        """Mean log-likelihood of the word's n-grams in each language; words recur, so a bounded number is kept."""
+        kept = self.__dict__.setdefault("_kept", {})
+        if word not in kept:
+            if len(kept) > 100_000:
+                kept.clear()
+            g = _grams(word)
+            kept[word] = (self.log_p[:, g].mean(1) if g else np.zeros(len(self.langs)), len(g))
+        return kept[word][0]
 
     def posterior(self, words: list[str]) -> np.ndarray:
-        """Words recur, so their scores are kept (a bounded number of them)."""
-        kept = self.__dict__.setdefault("_kept", {})
         s = np.zeros(len(self.langs))
         for w in words:
-            if w not in kept:
-                if len(kept) > 100_000:
-                    kept.clear()
-                g = _grams(w)
-                kept[w] = self.log_p[:, g].sum(1) if g else s * 0
-            s = s + kept[w]
-        e = np.exp(s - s.max())
-        return e / e.sum()
+            s = s + self._scores(w) * self._kept[w][1]
+        e = np.exp(s - s.max()) if len(s) else s
+        return e / e.sum() if len(s) else s
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
 
-def _is_copy(q: str, a: str) -> bool:
-    def grams(s: str) -> set[str]:
-        s = re.sub(r"[\W_]+", " ", s).strip()
-        return {s[i : i + 3] for i in range(max(1, len(s) - 2))} if s else set()
 
-    if not 0.5 * len(q) - 10 <= len(a) <= 2.5 * len(q) + 60:
-        return False
+def _letter_threes(s: str) -> frozenset[str]:
+    s = re.sub(r"[\W_]+", " ", s).strip()
+    return frozenset(s[i : i + 3] for i in range(max(1, len(s) - 2))) if s else frozenset()
+
+
+@lru_cache(maxsize=20_000)
+def _question_grams(q: str) -> frozenset[str]:
+    return _letter_threes(LEADS.sub("", bare(q)))
+
+
+def _is_copy(q: str, a: str) -> bool:
     parts = re.sub(r"^.{0,12}[:：]\s", "", LEADS.sub("", bare(a)))
-    x, y = grams(LEADS.sub("", bare(q))), grams(re.sub(r"\b(answer|you asked)\b\W*", "", parts))
+    x, y = _question_grams(q), _letter_threes(re.sub(r"\b(answer|you asked)\b\W*", "", parts))
+    if not y or len(y) > len(x) / 0.8 or len(y) < 0.7 * len(x):  # what the two shares below ask of the sizes
+        return False
     both = len(x & y)
-    if not y or both < 0.8 * len(y) or both < 0.7 * len(x):
+    if both < 0.8 * len(y) or both < 0.7 * len(x):
         return False
     asked = set(re.findall(r"\w+", bare(q)))
     new = {w for w in re.findall(r"\w+", parts) if w not in asked and len(w) > 2 and w not in _SMALL}
@@ -145,9 +200,11 @@ def _other_language(q: str, a: str, model: LanguageModel) -> bool:
     sentence = len(words) >= 4 or any(CLOSED_KO.search(w) and len(w) >= 3 for w in hangul[-1:]) and len(hangul) >= 2
     if not sentence:
         return False
-    asked = model.posterior([w for w in re.findall(r"[^\W\d_]+", plain(q)) if not w[:1].isupper() or w.lower() in _ASKING])
-    said = model.posterior(words)
-    return asked.max() > 0.9 and said.max() > 0.98 and said[int(asked.argmax())] < 0.01
+    asked = model.asked(q)
+    if not len(asked) or asked.max() <= 0.9:
+        return False
+    own, said = int(asked.argmax()), model.posterior(words)
+    return said.max() > 0.98 and said[own] < 0.01 or len(words) >= 4 and model.unseen(words, own) > 0.98
 
 
 _SMALL = {"the", "was", "were", "are", "answer", "you", "asked", "question", "thanks", "please", "답변", "질문"}
@@ -159,29 +216,52 @@ def _skeleton(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[0-9]+([.,:-][0-9]+)*", "0"), r"[.!?。]+['\"”’)\]]*\s*$", ""))
 
 
+def _ends(words: Column) -> Column:
+    """Words as they count for ends: of a Korean word the last two syllables."""
+    return F.transform(words, lambda w: F.regexp_replace(w, r"^.*(?=[가-힣0]{2}$)", ""))
+
+
 def _pair_id() -> Column:
-    return F.xxhash64(F.coalesce("prompt", F.lit("\0")), F.coalesce("response", F.lit("\0")))
+    return F.unhex(F.sha2(F.concat_ws("\0", F.coalesce(F.concat(F.lit("q"), "prompt"), F.lit("")), F.coalesce(F.concat(F.lit("a"), "response"), F.lit(""))), 256))
+
+
+def end_likelihood(said: DataFrame, *, strength: float = 2.0, usual: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """``said`` (rid, stopped, w): per run of one to three words, how often responses end with it and go on after it;
+    and per rid the likelihood ``p_end`` that a text ends after its last words, smoothed from three words to two to one."""
+    w = _ends(F.col("w"))
+    of = said.select("rid", "stopped", w.alias("e")).where("size(e) > 0")
+    runs = of.select("stopped", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"), "e")
+    at = F.expr("transform(sequence(k, size(e)), i -> struct(concat_ws(' ', slice(e, i - k + 1, k)) as g, i = size(e) as last))")
+    each = runs.where("size(e) >= k").select("stopped", "k", F.explode(at).alias("x")).select("k", "x.g", (F.col("x.last") & F.col("stopped")).cast("int").alias("end"), (~F.col("x.last")).cast("int").alias("on"))
+    counts = each.groupBy("k", "g").agg(F.sum("end").alias("ends"), F.sum("on").alias("goes"))
+    tails = of.select("rid", *[F.when(F.size("e") >= k, F.array_join(F.slice("e", F.size("e") - k + 1, k), " ")).alias(f"g{k}") for k in (1, 2, 3)])
+    for k in (1, 2, 3):
+        tails = tails.join(counts.where(F.col("k") == k).select(F.col("g").alias(f"g{k}"), F.col("ends").alias(f"ends{k}"), F.col("goes").alias(f"goes{k}")), f"g{k}", "left")
+    p = F.lit(usual)
+    for k in (1, 2, 3):
+        ends, goes = F.coalesce(f"ends{k}", F.lit(0)), F.coalesce(f"goes{k}", F.lit(0))
+        p = (ends + strength * p) / (ends + goes + strength)
+    return counts, tails.select("rid", p.alias("p_end"))
 
 
 def defects(pairs: DataFrame, labelled: DataFrame, sample: int = 4000) -> DataFrame:
     """``pairs``: prompt, response and any other columns; adds ``defect`` (null where there is none), in place of a column of that name."""
     pairs = pairs.drop("defect")
+    texts = cut(pairs.select("prompt", "response").distinct().withColumn("pid", _pair_id()), "pairs")
     model = LanguageModel(labelled, sample)
+    model.learn_new(texts.where("prompt is not null and response is not null"), sample)
     shared = pairs.sparkSession.sparkContext.broadcast(model)
-    texts = cut(pairs.select("prompt", "response").distinct().withColumn("pid", _pair_id()), "pairs")
 
-    # Ends of all distinct responses: whole wordings that end with a stop, and last words at an end or inside.
-    said = texts.where(F.col("response").isNotNull()).select("response").distinct().select("response", F.col("response").rlike(r"[.!?。]['\"”’)\]]*\s*$").alias("stopped"), _skeleton(F.col("response")).alias("sk"))
-    words = F.split("sk", " ")
+    # Ends of all distinct responses: whole wordings that end with a stop, last words at an end or inside, and how responses begin.
+    said = texts.where(F.col("response").isNotNull()).groupBy("response").agg(F.count("*").alias("times"))
+    said = cut(said.select("response", "times", F.unhex(F.sha2("response", 256)).alias("rid"), (F.col("response").rlike(r"[.!?。]['\"”’)\]]*\s*$") & ~F.col("response").rlike(r"(\.\.\.|…)\s*$")).alias("stopped"), _skeleton(F.col("response")).alias("sk")), "said")
     wordings = said.where("stopped").groupBy("sk").agg(F.count("*").alias("wording"))
-    runs = said.select("stopped", words.alias("w")).where("size(w) >= 3").select("stopped", F.posexplode(F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', slice(w, i, 3)))")).alias("i", "tri"), (F.size("w") - 3).alias("end"))
-    likelihood = runs.groupBy("tri").agg(F.sum(((F.col("i") == F.col("end")) & F.col("stopped")).cast("int")).alias("ends"), F.sum((F.col("i") < F.col("end")).cast("int")).alias("inside"))
-    sk = _skeleton(F.col("response"))
-    judged = texts.withColumn("sk", sk).withColumn("tri", F.array_join(F.slice(F.split("sk", " "), F.greatest(F.size(F.split("sk", " ")) - 2, F.lit(1)), 3), " "))
-    often = texts.groupBy("response").agg(F.count("*").alias("times"))
-    judged = judged.join(often, "response", "left").join(wordings, "sk", "left").join(likelihood, "tri", "left").select("pid", "prompt", "response", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("wording", F.lit(0)).alias("wording"), F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inside", F.lit(0)).alias("inside"))
-
-    def one(q: str | None, a: str | None, times: int, wording: int, ends: int, inside: int) -> str | None:
+    _, likely = end_likelihood(said.select("rid", "stopped", F.filter(F.split("sk", " "), lambda w: w != "").alias("w")))
+    begun = said.select(F.explode(F.expr("transform(sequence(1, least(3, size(split(sk, ' ')))), i -> struct(concat_ws(' ', slice(split(sk, ' '), 1, i)) as g, i < size(split(sk, ' ')) as on))")).alias("x")).groupBy(F.col("x.g").alias("sk")).agg(F.sum(F.col("x.on").cast("int")).alias("begins"), F.sum((~F.col("x.on")).cast("int")).alias("alone"))
+    known = said.join(wordings, "sk", "left").join(begun, "sk", "left").join(likely, "rid", "left").select("response", "times", "sk", F.coalesce("wording", F.lit(0)).alias("wording"), F.coalesce("begins", F.lit(0)).alias("begins"), F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("p_end", F.lit(0.0)).alias("p_end"))
+    judged = texts.join(known, "response", "left").select("pid", "prompt", "response", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("times", "wording", "begins", "alone")], F.coalesce("p_end", F.lit(0.0)).alias("p_end"), F.coalesce("sk", F.lit("")).alias("sk"))
+
+    def one(q: str | None, a: str | None, times: int, wording: int, begins: int, alone: int, p_end: float, sk: str) -> str | None:
         content = re.sub(r"[\W_]+", "", LEADS.sub("", plain(a)))
         if not content or content.casefold() in ("null", "none", "nan") or plain(a).strip().casefold() == "n/a":
             return "empty"
@@ -198,21 +278,23 @@ def defects(pairs: DataFrame, labelled: DataFrame, sample: int = 4000) -> DataFr
             last, n = re.sub(r"['\"”’)\]]+$", "", tail), len(tail.split())
             if tail.count("(") > tail.count(")"):
                 return "truncated"
-            if re.search("[가-힣]", last.split()[-1] if last.split() else ""):
-                if not (CLOSED_KO.search(last) and len(last.split()[-1]) >= 3) and (marked or n >= 3 and not (n <= 4 and times >= 4)):
-                    return "truncated"
-            elif (marked or n >= 4) and not wording and ends <= 0.5 * inside:
-                if n >= 5 or marked or inside > 0 and times < 4:
+            korean = bool(re.search("[가-힣]", last.split()[-1] if last.split() else ""))
+            if korean and CLOSED_KO.search(last) and len(last.split()[-1]) >= 3:
+                pass
+            elif marked or n >= (3 if korean else 4):  # a sentence, not a bare value
+                if not wording and p_end < 0.5 and not (n <= 4 and times >= 4):
                     return "truncated"
+            elif not korean and begins > alone and set(sk.split()) - {"N", "0"}:
+                return "truncated"
         if q and _other_language(q, a, shared.value):
             return "other_language"
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [one(*x) for x in zip(b.prompt, b.response, b.times, b.wording, b.ends, b.inside)]
+            found = [one(*x) for x in zip(b.prompt, b.response, b.times, b.wording, b.begins, b.alone, b.p_end, b.sk)]
             yield pd.DataFrame({"pid": b.pid, "defect": found})
 
-    found = judged.mapInPandas(run, "pid long, defect string")
+    found = judged.mapInPandas(run, "pid binary, defect string")
     found = found.withColumnRenamed("pid", "_tw_found")
     return pairs.withColumn("_tw_pair", _pair_id()).join(found, F.col("_tw_pair") == F.col("_tw_found"), "left").drop("_tw_pair", "_tw_found")

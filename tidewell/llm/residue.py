@@ -29,8 +29,8 @@ from tidewell.session import cut
 
 # How templates write a slot, how fillers begin, words of sentences about templates.
 SLOTS = (
-    r"\{\{[^{}\n]{1,40}\}\}", r"\$\{[^{}\n]{1,40}\}", r"#\{[^{}\n]{1,40}\}", r"<%[^%>\n]{1,40}%>", r"\{%[^%{}\n]{1,40}%\}", r"\[\[[^\[\]\n]{1,40}\]\]",
-    r"@@[\w.]{1,40}@@", r"__[a-zA-Z][\w.]{0,40}?__", r"<<[^<>\n]{1,40}>>", r"\[INSERT [^\]\n]{1,40}\]", r"\[[\w. ]{1,30} here\]", r"\{\d{1,2}\}", r"\{[a-z_.]{2,40}\}", r"%[A-Za-z_]{3,40}%", r"%\([\w.]{1,40}\)s",
+    r"\{\{[^{}\n]+\}\}", r"\$\{[^{}\n]+\}", r"#\{[^{}\n]+\}", r"<%[^%>\n]+%>", r"\{%[^%{}\n]+%\}", r"\[\[[^\[\]\n]+\]\]",
+    r"@@[\w.]+@@", r"__[a-zA-Z][\w.]*?__", r"<<[^<>\n]+>>", r"\[INSERT [^\]\n]+\]", r"\[[\w. ]+ here\]", r"\{\d{1,2}\}", r"\{[a-z_.]{2,}\}", r"%[A-Za-z_]{3,}%", r"%\([\w.]+\)s",
 )
 FILLER = r"^lorem ipsum\b|^sample text\b|\b(goes|comes) here\b|^insert .{1,60} here\b|^todo:|\bcontent placeholder\b|여기에 .{0,40}입력|입력해 주세요\.?$"
 # Short passages that are error messages wherever they stand; numbers are 0.

@@ -15,7 +15,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = truncated(table(spark, sf_dir, "documents"))
-    return found.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("long")).alias("n_truncated"), F.avg(F.col("cut").cast("double")).alias("rate"))
+    return found.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("long")).alias("n_truncated"), F.avg(F.col("cut").cast("double")).alias("rate"), *[F.sum((F.coalesce("stage", F.lit("")) == x).cast("long")).alias(f"n_{x}") for x in ("field_limit", "mid_transfer")])
 
 
 QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates}
