@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.stats import wilson
+from tidewell.functions.stats import binomial_upper, mcnemar_exact, wilson
 from tidewell.functions.urls import canonical_url, domain
 from tidewell.operators.asof import asof_last
-from tidewell.operators.similarity import neighbours
-from tidewell.operators.snapshot_diff import snapshot_changes
-from tidewell.operators.ttl import ttl_replay
+from tidewell.operators.running import with_running
+from tidewell.operators.similarity import CellIndex, neighbour_counts, neighbours
+from tidewell.operators.snapshot_diff import IndexStore, snapshot_changes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,16 +65,63 @@ def test_asof_against_brute_force(spark):
     assert len(got) == len(req)
 
 
-def test_ttl_replay_against_brute_force(spark):
-    rng = random.Random(2)
-    rows = [(rng.choice("aaaab"), i, float(rng.randrange(20000)), rng.choice([50.0, 200.0, 200.0])) for i in range(400)] + [(None, 900, 1.0, 10.0), ("a", 901, None, 10.0), ("c", 902, 5.0, None), ("c", 903, 5.0, None)]
-    got = {int(r.id): r.hit for r in ttl_replay(spark.createDataFrame(rows, "k string, id int, t double, ttl double"), key="k", time="t", ttl="ttl", order="id").collect()}
-    stored, want = {}, {}
-    for k, i, t, ttl in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], str(r[1]))):
-        want[i] = k in stored and t - stored[k] <= (ttl if ttl is not None else -1)
-        if not want[i]:
-            stored[k] = t
-    assert got == want
+def test_index_is_found_again_and_swapped(spark, tmp_path):
+    deliver = lambda rows: sorted(tuple(r) for r in IndexStore(spark, f"file://{tmp_path}", "pages", buckets=4).deliver(spark.createDataFrame(rows, "k string, h string, t double"), F.col("k"), F.col("h"), F.col("t"), old_values=True).collect())
+    assert deliver([("a", "1", 1.0), ("b", "2", 1.0)]) == [("a", "added", None, "1", None, 1.0), ("b", "added", None, "2", None, 1.0)]
+    assert deliver([("a", "9", 2.0), ("a", "8", 1.5), ("c", "3", 2.0)]) == [("a", "changed", "1", "9", 1.0, 2.0), ("b", "removed", "2", None, 1.0, None), ("c", "added", None, "3", None, 2.0)]
+    assert sorted(os.listdir(tmp_path / "pages")) == ["v2"]  # the old index is gone
+    assert deliver([]) == [("a", "removed", "9", None, 2.0, None), ("c", "removed", "3", None, 2.0, None)]
+
+
+def test_probe_shuffles_nothing(spark):
+    from tidewell.operators.snapshot_diff import HASH, KEY, TIME, probe
+
+    df = spark.createDataFrame([(f"k{i}", str(i), 1.0) for i in range(50)], f"{KEY} string, {HASH} string, {TIME} double")
+    for n in ("probe_a", "probe_b"):
+        df.write.format("parquet").bucketBy(4, KEY).sortBy(KEY).mode("overwrite").saveAsTable(n)
+    try:
+        with_plan = probe(spark.table("probe_a"), spark.table("probe_b"))
+        assert "Exchange" not in with_plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("drop table probe_a"), spark.sql("drop table probe_b")
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(5), rng.choice([None, 1, 2, 3])) for i in range(300)]
+    got = {r.i: r.s for r in with_running(spark.createDataFrame(rows, "i int, o int, v int"), [F.col("o"), F.col("i")], {"s": F.col("v")}, parts=7).collect()}
+    total = 0
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += v or 0
+        assert got[i] == total
+    assert with_running(spark.createDataFrame([], "i int"), [F.col("i")], {"s": F.col("i")}).count() == 0
+
+
+def test_exact_tests(spark):
+    cases = [(0, 0), (5, 0), (12, 3), (3, 12), (7, 7), (400, 460), (1, 30)]
+    got = spark.createDataFrame(cases, "b int, c int").select("b", "c", mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in got:
+        n = r.b + r.c
+        want = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(r.b, r.c) + 1)) / 2**n)
+        assert math.isclose(r.p, want, rel_tol=1e-9), (r, want)
+    top = spark.createDataFrame([(0, 10), (3, 10), (10, 10)], "k int, n int").select(binomial_upper(F.col("k"), F.col("n"))).collect()
+    assert math.isclose(top[0][0], 1 - 0.05**0.1, abs_tol=1e-9) and math.isclose(top[1][0], 0.6066242, abs_tol=1e-6) and top[2][0] == 1.0
+
+
+def test_index_of_cells_reaches_its_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    vecs = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(600)] + [(600, [0.0] * 16), (601, None)]
+    df = spark.createDataFrame(vecs, "id long, vec array<float>")
+    asked = df.where("id % 20 = 0")
+    exact = {(r.query_id, r.id) for r in neighbours(asked, df, k=5).collect()}
+    found = {(r.query_id, r.id) for r in CellIndex(df, cells=12).search(asked, k=5, probes=0.25).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    counts = {r.query_id: (r.n, r.best_id) for r in neighbour_counts(asked, df, least=0.5, prior_only=True, block=100).collect()}
+    pairs = neighbours(asked, df, k=None, least=0.5, prior_only=True).collect()
+    for q in {r.query_id for r in pairs}:
+        own = [r for r in pairs if r.query_id == q]
+        assert counts[q] == (len(own), min(own, key=lambda r: (-r.similarity, r.id)).id)
 
 
 def test_neighbours_against_numpy(spark):

@@ -18,6 +18,34 @@ def mcnemar_chi2(b: Column, c: Column) -> Column:
     return F.when(b + c > 0, F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)), 2) / (b + c)).otherwise(F.lit(0.0))
 
 
+def mcnemar_exact(b: Column, c: Column) -> Column:
+    """Two-sided exact p of the discordant pairs: min(1, 2 * sum of C(n, i) / 2^n up to the smaller); 1 without any.
+
+    Terms are logarithms built one from the other and summed relative to the last, the largest of them.
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
+    step = lambda acc, i: F.struct((acc["t"] + F.log((n - i + 1) / i)).alias("t"), F.lit(0.0).alias("s"))
+    logs = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s")), lambda acc, i: F.when(i <= k, step(acc, i)).otherwise(acc))
+    last = logs["t"]  # log C(n, k)
+    down = F.aggregate(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")),
+                       lambda acc, j: F.when(j < k, F.struct((acc["r"] * (k - j) / (n - k + j + 1)).alias("r"), (acc["s"] + acc["r"] * (k - j) / (n - k + j + 1)).alias("s"))).otherwise(acc))
+    return F.when(b + c == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(last - n * F.log(F.lit(2.0))) * down["s"]))
+
+
+def binomial_upper(hits: Column, n: Column, alpha: float = 0.05, steps: int = 40) -> Column:
+    """Clopper-Pearson upper bound: the share at which ``hits`` or fewer have the probability ``alpha``, by bisection."""
+    k, m = hits.cast("int"), n.cast("double")
+
+    def tail(p: Column) -> Column:
+        odds = p / (1 - p)
+        first = F.exp(m * F.log(1 - p))
+        return F.aggregate(F.sequence(F.lit(0), k), F.struct(first.alias("t"), F.lit(0.0).alias("s")), lambda acc, i: F.struct((acc["t"] * (m - i) / (i + 1) * odds).alias("t"), (acc["s"] + acc["t"]).alias("s")))["s"]
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
+                       lambda acc, _: F.when(tail((acc["lo"] + acc["hi"]) / 2) > alpha, F.struct(((acc["lo"] + acc["hi"]) / 2).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), ((acc["lo"] + acc["hi"]) / 2).alias("hi"))))
+    return F.when(k >= m, F.lit(1.0)).otherwise((ends["lo"] + ends["hi"]) / 2)
+
+
 def decay_rate(changed_share: Column, age_seconds: Column) -> Column:
     """Rate of an exponential from a share clamped to [0.01, 0.99]."""
     return -F.log(1 - F.greatest(F.least(changed_share, F.lit(0.99)), F.lit(0.01))) / age_seconds

@@ -28,12 +28,12 @@ def request_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def round_table(spark: SparkSession, d: str) -> DataFrame:
-    """One row per page and round with what was seen of it."""
-    rows = table(spark, d, "l3_cache").select(canonical_url("canonical_url").alias("page"), "run_id", "status_code", "extracted_text", F.lower("content_hash").alias("content_hash"))
+    """One row per page and round: its latest delivery (null times first, then the greater row id)."""
+    rows = table(spark, d, "l3_cache").select("row_id", "fetched_at", canonical_url("canonical_url").alias("page"), "run_id", "status_code", "extracted_text", F.lower("content_hash").alias("content_hash"))
     text = F.coalesce("extracted_text", F.lit(""))
     substantive = (F.length(F.trim(text)) >= 400) & ~F.lower(F.substring(text, 1, 400)).rlike(BLOCKED)
-    flat = rows.withColumn("n_chars", F.length(text)).withColumn("substantive", substantive.cast("int"))
-    return flat.groupBy("page", "run_id").agg(F.max("content_hash").alias("content_hash"), F.max("n_chars").alias("n_chars"), F.max("substantive").alias("substantive"), F.count("*").alias("n_rows"))
+    seen = F.struct(F.coalesce("fetched_at", F.lit(float("-inf"))).alias("t"), "row_id", "content_hash", F.length(text).alias("n_chars"), substantive.cast("int").alias("substantive"))
+    return rows.select("page", "run_id", seen.alias("seen")).groupBy("page", "run_id").agg(F.max("seen").alias("b"), F.count("*").alias("n_rows")).select("page", "run_id", "b.row_id", "b.content_hash", "b.n_chars", "b.substantive", "n_rows")
 
 
 def unobservable_reason(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +98,8 @@ def paraphrase_jaccard(spark: SparkSession, d: str) -> DataFrame:
 def ranked_lists_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Identical, overlapping and disjoint URL lists between consecutive rounds of a question."""
     m = table(spark, d, "url_manifest").select("run_id", "query_id", "url_hash").distinct().groupBy("run_id", "query_id").agg(F.collect_set("url_hash").alias("s"))
-    nxt = F.concat(F.lit("run_0"), (F.substring("run_id", 6, 1).cast("int") + 1).cast("string"))
-    j = m.withColumn("to_run", nxt).alias("a").join(m.select(F.col("run_id").alias("to_run"), "query_id", F.col("s").alias("t")), ["to_run", "query_id"])
+    runs = table(spark, d, "url_manifest").select("run_id").distinct().withColumn("to_run", F.lead("run_id").over(Window.orderBy("run_id")))  # one row per round
+    j = m.join(F.broadcast(runs), "run_id").alias("a").join(m.select(F.col("run_id").alias("to_run"), "query_id", F.col("s").alias("t")), ["to_run", "query_id"])
     both, either = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
     kind = F.when(both == either, "IDENTICAL").when(both > 0, "OVERLAPPING").otherwise("DISJOINT")
     return j.groupBy("to_run", kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(both / either), 6).alias("mean_jaccard"))
@@ -149,9 +149,9 @@ r as (select distinct query_id, false as is_paraphrase, query_id as base from qu
   union all select distinct query_id, is_paraphrase, base_query_id from paraphrase_clusters where is_paraphrase and query is not null)
 select r.query_id, r.is_paraphrase, l.n_urls, l.url_list from r join lists l on l.query_id = r.base""",
     "etl_round_table": f"""
-select {_PAGE} as page, run_id, max(lower(content_hash)) as content_hash, max(length({_TEXT})) as n_chars,
-  max(case when length(trim({_TEXT}, ' ')) >= 400 and not regexp_matches(lower(substring({_TEXT}, 1, 400)), '{BLOCKED}') then 1 else 0 end) as substantive, count(*) as n_rows
-from l3_cache group by 1, 2""",
+select page, run_id, row_id, content_hash, n_chars, substantive, n_rows from (select {_PAGE} as page, run_id, row_id, lower(content_hash) as content_hash, length({_TEXT}) as n_chars,
+  case when length(trim({_TEXT}, ' ')) >= 400 and not regexp_matches(lower(substring({_TEXT}, 1, 400)), '{BLOCKED}') then 1 else 0 end as substantive,
+  count(*) over (partition by {_PAGE}, run_id) as n_rows, row_number() over (partition by {_PAGE}, run_id order by fetched_at desc nulls last, row_id desc) as n from l3_cache) where n = 1""",
     "etl_unobservable_reason": f"""
 select run_id, case when coalesce(status_code, 0) <> 200 then 'status_' || coalesce(status_code::varchar, 'none') when length(trim({_TEXT}, ' ')) < 400 then 'body_too_short'
   when regexp_matches(lower(substring({_TEXT}, 1, 400)), '{BLOCKED}') then 'block_page' else 'observable' end as reason, count(*) as n from l3_cache group by 1, 2""",
@@ -174,7 +174,8 @@ j as (select p.query_id, p.base_query_id, {_CONTENT.format("p.query")} as a, {_C
 select distinct query_id, base_query_id, round(case when len(list_distinct(list_concat(a, b))) = 0 then 0.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as jaccard from j""",
     "etl_list_overlap": """
 with m as (select run_id, query_id, list(distinct url_hash) as s from url_manifest group by 1, 2),
-j as (select b.run_id as to_run, len(list_intersect(a.s, b.s)) as n_both, len(list_distinct(list_concat(a.s, b.s))) as n_either from m a join m b on a.query_id = b.query_id and b.run_id = 'run_0' || (substring(a.run_id, 6, 1)::int + 1))
+r as (select run_id, lead(run_id) over (order by run_id) as to_run from (select distinct run_id from url_manifest)),
+j as (select b.run_id as to_run, len(list_intersect(a.s, b.s)) as n_both, len(list_distinct(list_concat(a.s, b.s))) as n_either from m a join r on r.run_id = a.run_id join m b on a.query_id = b.query_id and b.run_id = r.to_run)
 select to_run, case when n_both = n_either then 'IDENTICAL' when n_both > 0 then 'OVERLAPPING' else 'DISJOINT' end as kind, count(*) as n, round(avg(n_both / n_either), 6) as mean_jaccard from j group by 1, 2""",
     "src_jsonl_round_trip": "select source, count(*) as n, count(distinct query_id) as n_ids from queries group by 1",
     "set_split_domains": """

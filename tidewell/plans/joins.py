@@ -1,4 +1,4 @@
-"""Joins over time and similarity, windows, replays."""
+"""Joins over time and similarity, windows."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.urls import canonical_url
 from tidewell.operators.asof import asof_last
-from tidewell.operators.similarity import neighbours
-from tidewell.operators.ttl import ttl_replay
+from tidewell.operators.running import with_running
+from tidewell.operators.similarity import CellIndex, neighbour_counts, neighbours
 from tidewell.plans.etl import _PAGE
 from tidewell.session import table
 
@@ -60,8 +60,22 @@ def top_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def prior_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Earlier rows at cosine 0.3 or more of every row whose id is divisible by 20."""
     v = _vectors(spark, d)
-    n = neighbours(v.where("id % 20 = 0"), v, k=None, least=0.3, prior_only=True)
-    return n.groupBy("query_id").agg(F.count("*").alias("n_prior"), F.max("similarity").alias("best"))
+    return neighbour_counts(v.where("id % 20 = 0"), v, least=0.3, prior_only=True).select("query_id", F.col("n").alias("n_prior"), "best", "best_id")
+
+
+def indexed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact ten nearest that the index of cells finds, over every row whose id is divisible by 20 against all rows."""
+    v = _vectors(spark, d)
+    asked = v.where("id % 20 = 0")
+    exact = neighbours(asked, v, k=10).select("query_id", "id")
+    found = CellIndex(v).search(asked, k=10).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
+def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Ten nearest by the index of cells."""
+    v = _vectors(spark, d)
+    return CellIndex(v).search(v.where("id % 20 = 0"), k=10)
 
 
 def neighbour_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -72,26 +86,29 @@ def neighbour_labels(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("own").agg(F.count("*").alias("n"), F.sum((F.col("own") == F.col("other")).cast("int")).alias("n_same"))
 
 
-def page_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Replay of the page tier: hits and misses of result pages under the class's time to live."""
-    life = F.create_map(*[x for k, v in HALF_LIFE.items() for x in (F.lit(k), F.lit(float(v) * K_PAGE))])
-    m = table(spark, d, "url_manifest").select("url_hash", "freshness_class", F.concat_ws("|", "run_id", "query_id", "rank").alias("id"), _seconds("retrieval_timestamp").alias("t")).distinct()
-    r = ttl_replay(m.withColumn("ttl", life[F.col("freshness_class")]), key="url_hash", time="t", ttl="ttl", order="id")
-    return r.groupBy("hit").agg(F.count("*").alias("n"), F.round(F.avg("age"), 3).alias("mean_age"))
+def _sessions(r: DataFrame, keys: list[str]) -> DataFrame:
+    """(session, n): rows of a key whose gap to the one before is within its time to live, cut by Spark's session windows."""
+    return r.groupBy(F.session_window("at", F.col("ttl")).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
-def event_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Replay of a cache keyed by user and event type with six hours to live."""
-    e = table(spark, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.lit(21600.0).alias("ttl"))
-    r = ttl_replay(e, key="key", time="t", ttl="ttl", order="id")
-    return r.groupBy(F.split("k", ":")[1].alias("event_type")).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
+def page_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of requests of a page in which none comes later after another than the class's time to live."""
+    life = F.create_map(*[x for k, v in HALF_LIFE.items() for x in (F.lit(k), F.lit(f"{int(v * K_PAGE)} seconds"))])
+    m = table(spark, d, "url_manifest").where("freshness_class is not null").select("url_hash", "freshness_class", "run_id", "query_id", "rank", F.to_timestamp("retrieval_timestamp").alias("at")).where("at is not null").distinct()
+    return _sessions(m.withColumn("ttl", life[F.col("freshness_class")]), ["url_hash", "freshness_class"]).groupBy("freshness_class").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"), F.max("n").alias("longest"))
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of a user's events of one type with six hours between them at most."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"), F.lit("21600 seconds").alias("ttl"))
+    return _sessions(e, ["user_id", "event_type"]).groupBy("event_type").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"), F.max("n").alias("longest"))
 
 
 def repeats(spark: SparkSession, d: str) -> DataFrame:
-    """First-seen and repeated URLs per round, in order of retrieval."""
-    w = Window.partitionBy("url_hash").orderBy("retrieval_timestamp", "run_id", "query_id", "rank")
+    """First-seen and repeated URLs per round, in order of retrieval: a URL's first result is a minimum, no window."""
     m = table(spark, d, "url_manifest").select("run_id", "query_id", "rank", "url_hash", "retrieval_timestamp").distinct()
-    return m.withColumn("n", F.row_number().over(w)).groupBy("run_id").agg(F.sum((F.col("n") == 1).cast("int")).alias("first_seen"), F.sum((F.col("n") > 1).cast("int")).alias("repeated"))
+    first = m.groupBy("url_hash").agg(F.min(F.struct(F.col("retrieval_timestamp").isNull().alias("k"), "retrieval_timestamp", "run_id", "query_id", "rank")).alias("f")).groupBy(F.col("f.run_id").alias("run_id")).agg(F.count("*").alias("first_seen"))
+    return m.groupBy("run_id").agg(F.count("*").alias("n")).join(first, "run_id", "left").select("run_id", F.coalesce("first_seen", F.lit(0)).alias("first_seen"), (F.col("n") - F.coalesce("first_seen", F.lit(0))).alias("repeated"))
 
 
 def gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -103,10 +120,15 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zipf_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Questions by how often their results are delivered, with the weight 1 / rank, per class (the first ten)."""
-    n = table(spark, d, "url_manifest").groupBy("freshness_class", "query_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("freshness_class").orderBy(F.desc("n"), "query_id")
-    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("freshness_class", "query_id", "n", "rank", F.round(1 / F.col("rank"), 6).alias("weight"))
+    """Every question by how often its results are delivered, with the weight 1 / rank in its class.
+
+    Ranks are running counts over ranged parts, so a class is no single task.
+    """
+    n = table(spark, d, "url_manifest").where("freshness_class is not null").groupBy("freshness_class", "query_id").agg(F.count("*").alias("n"))
+    r = with_running(n, [F.col("freshness_class"), F.desc("n"), F.col("query_id")], {"place": F.lit(1)})
+    start = r.groupBy("freshness_class").agg(F.min("place").alias("start"))
+    rank = (F.col("place") - F.col("start") + 1).alias("rank")
+    return r.join(start, "freshness_class").select("freshness_class", "query_id", "n", rank).withColumn("weight", F.round(1 / F.col("rank"), 6))
 
 
 _V = "select vec_id as id, embedding::double[] as v from embeddings"
@@ -115,21 +137,21 @@ _HASHED = "select {0} lower(content_hash) as h from url_manifest"
 _EPOCH = "floor(epoch(retrieval_timestamp::timestamptz))::double"
 
 
-def _replay_sql(source: str, tail: str) -> str:
-    """Ordered fold as a recursive walk from each miss to the next."""
+_LIFE = "case freshness_class " + " ".join(f"when '{k}' then {int(v * K_PAGE)}" for k, v in HALF_LIFE.items()) + " end"
+
+
+def _sessions_sql(source: str, keys: str, by: str) -> str:
+    """A session begins where the gap to the row before reaches the time to live."""
     return f"""
-with recursive r as ({source}), o as (select *, row_number() over (partition by k order by t, id) as n from r),
-walk as (select k, n, t, t as stored, false as hit, null::double as age, ttl from o where n = 1
-  union all select o.k, o.n, o.t, case when o.t - w.stored <= o.ttl then w.stored else o.t end, o.t - w.stored <= o.ttl,
-    case when o.t - p.t > o.ttl then null else o.t - w.stored end, o.ttl
-  from walk w join o on o.k = w.k and o.n = w.n + 1 join o p on p.k = w.k and p.n = w.n)
-{tail}"""
+with r as ({source}), g as (select *, coalesce(t - lag(t) over w >= ttl, true) as fresh from r window w as (partition by {keys} order by t)),
+s as (select *, sum(fresh::int) over (partition by {keys} order by t rows between unbounded preceding and current row) as k from g),
+c as (select {keys}, k, count(*) as n from s group by all)
+select {by}, count(*) as n_sessions, sum(n)::bigint as n, max(n) as longest from c group by 1"""
 
 
-_LIFE = "case freshness_class " + " ".join(f"when '{k}' then {v}::double * {K_PAGE}" for k, v in HALF_LIFE.items()) + " else -1 end"
 QUERIES = {
     "join_asof_versions": asof_versions, "join_round_pairs": round_pairs, "join_outcomes": outcomes, "knn_exact": top_neighbours, "knn_prior": prior_neighbours, "knn_labels": neighbour_labels,
-    "replay_pages": page_replay, "replay_events": event_replay, "win_repeats": repeats, "win_gaps": gaps, "win_zipf": zipf_weights,
+    "knn_index": indexed_neighbours, "knn_index_recall": indexed_recall, "win_page_sessions": page_sessions, "win_event_sessions": event_sessions, "win_repeats": repeats, "win_gaps": gaps, "win_zipf": zipf_weights,
 }
 SQL = {
     "join_asof_versions": f"""
@@ -145,12 +167,12 @@ l as (select run_id, query_id, url_hash, max(h) as h1 from m where run_id <> 'ru
 q as (select run_id, query_id, max((h0 <> h1)::int) as c, count(h0 <> h1) as known, count(*) as n from f join l using (query_id, url_hash) group by 1, 2)
 select run_id, case when c = 1 then 'CHANGED' when known = n then 'UNCHANGED' else 'UNOBSERVABLE' end as outcome, count(*) as n from q group by 1, 2""",
     "knn_exact": f"with {_SIM} select query_id, id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, id) as n from s) where n <= 10",
-    "knn_prior": f"with {_SIM} select query_id, count(*) as n_prior, max(similarity) as best from s where id < query_id and similarity >= 0.3 group by 1",
+    "knn_prior": f"with {_SIM} select query_id, count(*) as n_prior, max(similarity) as best, arg_max(id, (similarity, -id)) as best_id from s where id < query_id and similarity >= 0.3 group by 1",
     "knn_labels": f"""
 with {_SIM}, b as (select query_id, id from (select *, row_number() over (partition by query_id order by similarity desc, id) as n from s) where n = 1)
 select x.label as own, count(*) as n, sum((x.label = y.label)::int) as n_same from b join embeddings x on x.vec_id = b.query_id join embeddings y on y.vec_id = b.id group by 1""",
-    "replay_pages": _replay_sql(f"select distinct url_hash as k, concat_ws('|', run_id, query_id, rank) as id, {_EPOCH} as t, {_LIFE} as ttl from url_manifest", "select hit, count(*) as n, round(avg(age), 3) as mean_age from walk group by 1"),
-    "replay_events": _replay_sql("select concat_ws(':', user_id, event_type) as k, event_id::varchar as id, floor(epoch(ts))::double as t, 21600.0::double as ttl from events", "select split_part(k, ':', 2) as event_type, count(*) as n, sum(hit::int) as hits from walk group by 1"),
+    "win_page_sessions": _sessions_sql(f"select distinct url_hash, freshness_class, run_id, query_id, rank, epoch(retrieval_timestamp::timestamptz) as t, {_LIFE} as ttl from url_manifest where freshness_class is not null and retrieval_timestamp is not null", "url_hash, freshness_class", "freshness_class"),
+    "win_event_sessions": _sessions_sql("select user_id, event_type, floor(epoch(ts)) as t, 21600 as ttl from events", "user_id, event_type", "event_type"),
     "win_repeats": """
 with m as (select distinct run_id, query_id, rank, url_hash, retrieval_timestamp from url_manifest), n as (select run_id, row_number() over (partition by url_hash order by retrieval_timestamp, run_id, query_id, rank) as n from m)
 select run_id, sum((n = 1)::int) as first_seen, sum((n > 1)::int) as repeated from n group by 1""",
@@ -158,6 +180,6 @@ select run_id, sum((n = 1)::int) as first_seen, sum((n > 1)::int) as repeated fr
 with g as (select event_type, floor(epoch(ts)) - lag(floor(epoch(ts))) over (partition by user_id order by ts, event_id) as gap from events)
 select event_type, count(*) as n, round(quantile_cont(gap, 0.5), 3) as median, round(quantile_cont(gap, 0.95), 3) as p95, round(avg(gap), 3) as mean from g where gap is not null group by 1""",
     "win_zipf": """
-with n as (select freshness_class, query_id, count(*) as n from url_manifest group by 1, 2), r as (select *, row_number() over (partition by freshness_class order by n desc, query_id) as rank from n)
-select freshness_class, query_id, n, rank, round(1.0 / rank, 6) as weight from r where rank <= 10""",
+with n as (select freshness_class, query_id, count(*) as n from url_manifest where freshness_class is not null group by 1, 2), r as (select *, row_number() over (partition by freshness_class order by n desc, query_id) as rank from n)
+select freshness_class, query_id, n, rank, round(1.0 / rank, 6) as weight from r""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.running import with_running
 from tidewell.plans.stats import _LABELS, _int, _labels
 from tidewell.session import scratch, table
 
@@ -39,30 +40,27 @@ def paired_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def youden(spark: SparkSession, d: str) -> DataFrame:
-    """Threshold on the share of other judges saying INCORRECT that best tells one judge's verdict; ties to the smaller.
+    """For each judge, the threshold on the share of the other judges saying INCORRECT that best tells its verdict; ties to the smaller.
 
     Counts per grid value and running sums, not a product of the grid with the labels.
     """
     lab = _labels(spark, d)
-    other = lab.where("judge <> 'llama8b'").groupBy("q", "gold", "ans").agg(F.avg("wrong").alias("s"))
-    own = lab.where("judge = 'llama8b'").select("q", "gold", "ans", "wrong")
+    item = lab.groupBy("q", "gold", "ans").agg(F.sum("wrong").alias("w"), F.count("*").alias("k")).where("k > 1")
     on = ["q", "gold", "ans"]
-    g = own.join(other, on).groupBy(F.ceil(F.round(F.col("s") * 100, 6)).alias("cut")).agg(F.sum("wrong").alias("p"), F.sum(1 - F.col("wrong")).alias("n"))
-    above = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)  # at most 101 grid values
-    r = g.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above))
-    whole = g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    j = r.crossJoin(whole).withColumn("youden", F.round(F.col("tp") / F.col("all_p") - F.col("fp") / F.col("all_n"), 6))
-    return j.orderBy(F.desc("youden"), "cut").limit(1).select((F.col("cut") / 100).alias("threshold"), "youden")
+    share = (F.col("w") - F.col("wrong")) / (F.col("k") - 1)
+    g = lab.join(item, on).groupBy("judge", F.ceil(F.round(share * 100, 6)).alias("cut")).agg(F.sum("wrong").alias("p"), F.sum(1 - F.col("wrong")).alias("n"))
+    own = Window.partitionBy("judge")
+    above = own.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)  # at most 101 grid values per judge
+    r = g.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above)).withColumn("all_p", F.sum("p").over(own)).withColumn("all_n", F.sum("n").over(own))
+    j = r.withColumn("youden", F.round(F.col("tp") / F.col("all_p") - F.col("fp") / F.col("all_n"), 6))
+    return j.groupBy("judge").agg(F.max(F.struct("youden", (-F.col("cut")).alias("c"))).alias("b")).select("judge", (-F.col("b.c") / 100).alias("threshold"), "b.youden")
 
 
 def size_sample(spark: SparkSession, d: str) -> DataFrame:
     """Systematic sample of 20 customers in proportion to their order totals, in key order."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("size"))
-    cell = o.withColumn("cell", F.floor(F.col("o_custkey") / 64))
-    base = cell.groupBy("cell").agg(F.sum("size").alias("s")).select("cell", F.coalesce(F.sum("s").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    upto = F.sum("size").over(Window.partitionBy("cell").orderBy("o_custkey").rowsBetween(Window.unboundedPreceding, 0)) + F.col("base")
     whole = o.agg(F.sum("size").alias("whole"))
-    r = cell.join(base, "cell").withColumn("upto", upto).crossJoin(F.broadcast(whole)).withColumn("step", F.expr("whole div 20"))
+    r = with_running(o, [F.col("o_custkey")], {"upto": F.col("size")}).crossJoin(whole).withColumn("step", F.expr("whole div 20"))
     return r.where("upto div step > (upto - size) div step").select("o_custkey", "size", "upto")
 
 
@@ -99,17 +97,26 @@ def expired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prior_exposure(spark: SparkSession, d: str) -> DataFrame:
-    """Events whose type the same user had among their previous five events."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, -1)
-    e = table(spark, d, "events").withColumn("before", F.collect_set("event_type").over(w))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(_int(F.array_contains("before", F.col("event_type")))).alias("n_exposed"))
+    """Events whose type the same user had in any earlier event: all but the first of a user and type, so a count does."""
+    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return e.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("n_exposed"))
+
+
+def recent_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose user had the same type among the last 5,000 events of all users (a bounded frame).
+
+    Places come from running counts over ranged parts; the event before of a user and type is the only one to look at.
+    """
+    e = with_running(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"), [F.col("ts"), F.col("event_id")], {"place": F.lit(1)})
+    before = F.lag("place").over(Window.partitionBy("user_id", "event_type").orderBy("place"))
+    return e.withColumn("gap", F.col("place") - before).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(_int(F.coalesce(F.col("gap") <= 5000, F.lit(False)))).alias("n_exposed"))
 
 
 _NUM = "list_sort(list_distinct(regexp_extract_all({0}, '[0-9]+')))"
 _NEG = r"regexp_matches(lower({0}), '\b(not|no|never|without|except)\b|n''t\b')"
 QUERIES = {
     "fn_guards": guards, "fn_answer_kinds": answer_kinds, "join_paired_cells": paired_cells, "st_youden": youden, "smp_by_size": size_sample, "etl_depths": depths,
-    "op_best_under_cost": best_under_cost, "src_tsv_round_trip": tsv_round_trip, "etl_expired": expired, "win_prior_exposure": prior_exposure,
+    "op_best_under_cost": best_under_cost, "src_tsv_round_trip": tsv_round_trip, "etl_expired": expired, "win_prior_exposure": prior_exposure, "win_recent_exposure": recent_exposure,
 }
 SQL = {
     "fn_guards": f"""
@@ -122,9 +129,9 @@ with {_LABELS}, a as (select q, gold, ans, max(wrong) as a from lab where judge
 select case when a is null then 'only_b' when b is null then 'only_a' when a = b then case when a = 1 then 'both_wrong' else 'both_right' end else 'differ' end as cell, count(*) as n
 from a full join b on a.q is not distinct from b.q and a.gold is not distinct from b.gold and a.ans is not distinct from b.ans group by 1""",
     "st_youden": f"""
-with {_LABELS}, o as (select q, gold, ans, avg(wrong) as s from lab where judge <> 'llama8b' group by 1, 2, 3), j as (select ceil(round(s * 100, 6)) as s, wrong from lab join o using (q, gold, ans) where judge = 'llama8b'),
-g as (select distinct s as cut from j), r as (select cut, sum(case when s >= cut then wrong else 0 end) / sum(wrong) - sum(case when s >= cut then 1 - wrong else 0 end) / sum(1 - wrong) as y from g cross join j group by 1)
-select cut / 100 as threshold, round(y, 6) as youden from r order by round(y, 6) desc, cut limit 1""",
+with {_LABELS}, i as (select q, gold, ans, sum(wrong) as w, count(*) as k from lab group by 1, 2, 3 having count(*) > 1), j as (select judge, ceil(round((w - wrong) / (k - 1) * 100, 6)) as s, wrong from lab join i using (q, gold, ans)),
+g as (select distinct judge, s as cut from j), r as (select g.judge, cut, round(sum(case when s >= cut then wrong else 0 end) / sum(wrong) - sum(case when s >= cut then 1 - wrong else 0 end) / sum(1 - wrong), 6) as y from g join j on j.judge = g.judge group by 1, 2)
+select judge, cut / 100 as threshold, y as youden from (select *, row_number() over (partition by judge order by y desc, cut) as n from r) where n = 1""",
     "smp_by_size": """
 with o as (select o_custkey, sum(round(o_totalprice * 100)::bigint)::bigint as size from orders group by 1), u as (select *, (sum(size) over (order by o_custkey))::bigint as upto, ((sum(size) over ()) // 20)::bigint as step from o)
 select o_custkey, size, upto from u where upto // step > (upto - size) // step""",
@@ -139,6 +146,8 @@ select p_type, l_suppkey, volume, unit_price from r where k = 1""",
     "src_tsv_round_trip": "select lang, count(*) as n, count(distinct entity_id) as n_entities from entity_aliases group by 1",
     "etl_expired": "with l as (select max(fetched_at) as last from l3_cache) select run_id, sum((fetched_at >= last - 86400)::int) as kept, sum((fetched_at < last - 86400)::int) as deleted from l3_cache cross join l where fetched_at is not null group by 1",
     "win_prior_exposure": """
-with e as (select event_type, list(event_type) over (partition by user_id order by ts, event_id rows between 5 preceding and 1 preceding) as b from events)
-select event_type, count(*) as n, sum(coalesce(list_contains(b, event_type), false)::int) as n_exposed from e group by 1""",
+with e as (select event_type, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) select event_type, count(*) as n, sum((k > 1)::int) as n_exposed from e group by 1""",
+    "win_recent_exposure": """
+with p as (select *, row_number() over (order by ts, event_id) as place from events), e as (select event_type, place - lag(place) over (partition by user_id, event_type order by place) as gap from p)
+select event_type, count(*) as n, sum(coalesce(gap <= 5000, false)::int) as n_exposed from e group by 1""",
 }

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.urls import canonical_url
 from tidewell.plans.etl import SQL as ETL_SQL
+from tidewell.session import scratch, table
 from tidewell.streaming.tables import run_to_table, stream_of, upsert_latest, windowed_counts
 
 
 def latest_page_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The latest row of each page, merged batch by batch as deliveries arrive."""
-    rows = stream_of(spark, f"{d}/l3_cache.parquet").select(canonical_url("canonical_url").alias("page"), "row_id", "run_id", F.coalesce("fetched_at", F.lit(float("-inf"))).alias("t")).where("page <> ''")
+    """The latest row of each page, merged delivery by delivery: the deliveries land as folders of files, a few files to a batch."""
+    landing = scratch(spark, "landing")
+    table(spark, d, "l3_cache").select("canonical_url", "row_id", "run_id", "fetched_at").repartition("run_id").write.parquet(landing)
+    rows = stream_of(spark, landing).select(canonical_url("canonical_url").alias("page"), "row_id", "run_id", F.coalesce("fetched_at", F.lit(float("-inf"))).alias("t")).where("page <> ''")
     return upsert_latest(rows, ["page"], F.struct("t", "row_id")).select("page", "row_id", "run_id")
 
 

@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local session without one gets its own folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark, "_tidewell_dir", None)
         if path is None:
             path = "file://" + tempfile.mkdtemp(prefix="tidewell-")
@@ -56,10 +58,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame made by ``cut`` once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
         if "/tidewell/" in f:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, f.rpartition("/")[0])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import scratch
+from tidewell.session import cut, scratch
 
 
 def stream_of(spark: SparkSession, path: str, *, files: int | None = 1) -> DataFrame:
@@ -39,22 +39,26 @@ def windowed_counts(events: DataFrame, time: Column, keys: list[str], *, width:
     return g.select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The latest row per key, kept by micro-batches: each batch is reduced to one row per key, then merged with the
-    table, which is written anew beside the old one and swapped in."""
+def upsert_latest(stream: DataFrame, keys: list[str], order: Column, *, buckets: int = 64) -> DataFrame:
+    """The latest row per key, kept by micro-batches in a table of buckets by key: a batch is reduced to one row per key
+    and merged with the buckets it touches alone; these are written beside the old ones and swapped in."""
     spark = stream.sparkSession
-    current: dict[str, str] = {}
+    at: dict[int, str] = {}  # folder of each bucket
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select(*keys, F.struct(order.alias("o"), F.struct(*[c for c in batch.columns if c not in keys]).alias("r")).alias("b")).where(" and ".join(f"{k} is not null" for k in keys))
-        if "path" in current:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(current["path"]))
+        fresh = cut(rows.groupBy(*keys).agg(F.max("b").alias("b")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "batch")
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        held = [at[k] for k in touched if k in at]
+        if held:
+            kept = fresh.sparkSession.read.schema(fresh.drop("bucket").schema).parquet(*held)
+            fresh = fresh.drop("bucket").unionByName(kept).groupBy(*keys).agg(F.max("b").alias("b")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         path = scratch(spark, f"upsert-{number}")
-        rows.groupBy(*keys).agg(F.max("b").alias("b")).write.parquet(path)
-        current["path"] = path
+        fresh.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        at.update({k: f"{path}/bucket={k}" for k in touched})
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
-    if "path" not in current:
+    if not at:
         return spark.createDataFrame([], stream.schema).select(*keys, *rest)
-    return spark.read.parquet(current["path"]).select(*keys, *[f"b.r.{c}" for c in rest])
+    return spark.read.parquet(*at.values()).select(*keys, *[f"b.r.{c}" for c in rest])
