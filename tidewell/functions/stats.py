@@ -37,9 +37,17 @@ def binomial_upper(hits: Column, n: Column, alpha: float = 0.05, steps: int = 40
     k, m = hits.cast("int"), n.cast("double")
 
     def tail(p: Column) -> Column:
-        odds = p / (1 - p)
-        first = F.exp(m * F.log(1 - p))
-        return F.aggregate(F.sequence(F.lit(0), k), F.struct(first.alias("t"), F.lit(0.0).alias("s")), lambda acc, i: F.struct((acc["t"] * (m - i) / (i + 1) * odds).alias("t"), (acc["s"] + acc["t"]).alias("s")))["s"]
+        """P(X <= k): terms as logarithms, summed relative to the greatest so far."""
+        odds = F.log(p / (1 - p))
+        none = F.struct((m * F.log(1 - p)).alias("t"), F.lit(-1e308).alias("top"), F.lit(0.0).alias("s"))
+
+        def add(acc: Column, i: Column) -> Column:
+            t, top = acc["t"], F.greatest(acc["top"], acc["t"])
+            total = acc["s"] * F.exp(acc["top"] - top) + F.exp(t - top)
+            return F.struct(F.when(i < m, t + F.log((m - i) / (i + 1)) + odds).otherwise(t).alias("t"), top.alias("top"), total.alias("s"))
+
+        sums = F.aggregate(F.sequence(F.lit(0), k), none, add)
+        return sums["s"] * F.exp(sums["top"])
 
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
                        lambda acc, _: F.when(tail((acc["lo"] + acc["hi"]) / 2) > alpha, F.struct(((acc["lo"] + acc["hi"]) / 2).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), ((acc["lo"] + acc["hi"]) / 2).alias("hi"))))

@@ -1,5 +1,5 @@
 """Registered queries, each with its SQL, by theme."""
 
-from tidewell.plans import drift, etl, joins, more, snapshots, stats, streams
+from tidewell.plans import drift, etl, joins, more, quality, snapshots, stats, streams
 
-MODULES = [snapshots, etl, joins, stats, more, streams, drift]
+MODULES = [snapshots, etl, joins, stats, more, streams, drift, quality]
