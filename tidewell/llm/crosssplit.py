@@ -6,7 +6,9 @@ beside the choice). Its shingles are the unordered pairs of these words, so word
 word sets are joined, evaluation against training: shingles are ordered from rare to common, prefixes of evaluation
 sets are indexed, training prefixes probe them under length and position filters. Two sets may differ in
 ``differing`` of their words (one at least), each a slip of its counterpart; the prefixes are as long as that asks
-for, so that no such pair is lost however short the questions are. The words left over then decide. Korean questions
+for, so that no such pair is lost however short the questions are. The words left over then decide. Of two words that
+differ one is common and the other is not, so shingles with an uncommon word come first in the order, and shingles of
+common words alone need to meet only where the uncommon words of both sides can all be such slips. Korean questions
 also meet by their letters without spaces, since spaces are often left out.
 
 The list of common words is bounded: a word must be in ``common`` of all questions, so there are at most
@@ -200,31 +202,38 @@ def cross_split_pairs(records: DataFrame, *, differing: float = 0.2, common: flo
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller = Speller(vocabulary.value)
         for b in batches:
-            sets, typed = [], []
+            sets, typed, rare = [], [], []
             for t in b.text:
                 mended = [(*speller.mend(x), x) for x in words_of(t)]
                 sets.append(sorted(w for w, _, _ in mended if w not in SMALL))
                 typed.append(sorted(f"{w} {x}" for w, unsure, x in mended if unsure and w not in SMALL))
-            yield b.drop(columns="text").assign(words=sets, typed=typed, letters=b.text.map(letters_of))
+                unsure = {t.split(" ", 1)[0] for t in typed[-1]}
+                rare.append(sorted({w for w in sets[-1] if slips(w) and (w not in vocabulary.value or w in unsure)}))
+            yield b.drop(columns="text").assign(words=sets, typed=typed, rare=rare, letters=b.text.map(letters_of))
 
-    reduced = rows.mapInPandas(reduce, "rid string, in_train boolean, in_eval boolean, words array<string>, typed array<string>, letters string").where("size(words) > 0")
+    reduced = rows.mapInPandas(reduce, "rid string, in_train boolean, in_eval boolean, words array<string>, typed array<string>, rare array<string>, letters string").where("size(words) > 0")
     reduced = cut(reduced.withColumn("kid", F.unhex(F.sha2(F.concat_ws("|", F.array_join("words", " "), F.array_join("typed", ",")), 256))), "reduced")
-    sets = cut(reduced.groupBy("kid").agg(F.first("words").alias("words"), F.first("typed").alias("typed"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")), "sets")
+    sets = cut(reduced.groupBy("kid").agg(F.first("words").alias("words"), F.first("typed").alias("typed"), F.first("rare").alias("rare"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")), "sets")
 
-    pairs = F.expr("flatten(transform(words, (x, i) -> transform(slice(words, i + 2, size(words)), y -> concat(x, ' ', y))))")
+    # Shingles with whether no uncommon word is in them.
+    shingles = F.expr("""array_distinct(concat(transform(words, x -> struct(not array_contains(rare, x) as weak, x as g)), flatten(transform(words, (x, i) ->
+        transform(slice(words, i + 2, size(words)), y -> struct(not (array_contains(rare, x) or array_contains(rare, y)) as weak, concat(x, ' ', y) as g))))))""")
     size = F.size("words")
     apart = F.greatest(F.lit(1), F.floor(F.lit(differing) * size)).cast("int")
-    shingled = sets.select("kid", "t", "e", size.alias("n"), apart.alias("d"), F.array_distinct(F.concat(pairs, "words")).alias("g"))
+    shingled = sets.select("kid", "t", "e", size.alias("n"), apart.alias("d"), F.size(F.filter("words", lambda w: F.array_contains("rare", w))).alias("u"), shingles.alias("g"))
     # d words take away d single words and d (n - 1) pairs at most; so many shingles and one more make the prefix.
-    grams = shingled.select("kid", "t", "e", "n", "d", F.size("g").alias("m"), (F.col("d") * F.col("n") + 1).alias("first"), F.explode("g").alias("g"))
+    grams = shingled.select("kid", "t", "e", "n", "d", "u", F.size("g").alias("m"), (F.col("d") * F.col("n") + 1).alias("first"), F.explode("g").alias("x")).select("*", "x.weak", "x.g").drop("x")
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("kid").orderBy("df", "g")
-    placed = cut(grams.join(rarity, "g").withColumn("pos", F.row_number().over(order) - 1).where("pos < first"), "prefixes")
-    side = lambda keep, x: placed.where(keep).select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("kid", "n", "d", "m", "pos")])
+    order = Window.partitionBy("kid").orderBy("weak", "df", "g")
+    placed = cut(grams.join(rarity, "g").withColumn("pos", F.row_number().over(order) - 1).where("pos < first and (not weak or u <= d)"), "prefixes")
+    # A weak shingle meets those of sets with so few uncommon words that all of both can be slips.
+    own = F.when(F.col("weak"), F.col("u")).otherwise(-1)
+    others = F.when(F.col("weak"), F.sequence(F.lit(0), F.greatest(F.col("d") - F.col("u"), F.lit(0)))).otherwise(F.array(F.lit(-1)))
+    side = lambda keep, x, mine, partner: placed.where(keep).select("g", "n", own.alias(mine), F.explode(others).alias(partner), *[F.col(c).alias(f"{c}_{x}") for c in ("kid", "d", "m", "pos")])
     # Length: as many words on both sides. Position: what is left behind both places must reach the shingles that have to be shared.
-    need = F.greatest("m_e", "m_t") - F.least("d_e", "d_t") * F.col("n_e")
-    fits = (F.col("n_e") == F.col("n_t")) & (1 + F.least(F.col("m_e") - F.col("pos_e") - 1, F.col("m_t") - F.col("pos_t") - 1) >= need)
-    near = side("e", "e").join(side("t", "t"), "g").where(fits & (F.col("kid_e") != F.col("kid_t"))).select(F.col("kid_e").alias("ke"), F.col("kid_t").alias("kt")).distinct()
+    fewest = F.least("d_e", "d_t")
+    fits = 1 + F.least(F.col("m_e") - F.col("pos_e") - 1, F.col("m_t") - F.col("pos_t") - 1) >= F.greatest("m_e", "m_t") - fewest * F.col("n")
+    near = side("e", "e", "ue", "ut").join(side("t", "t", "ut", "ue"), ["g", "n", "ue", "ut"]).where(fits & (F.col("kid_e") != F.col("kid_t"))).select(F.col("kid_e").alias("ke"), F.col("kid_t").alias("kt"), fewest.alias("d")).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = set(vocabulary.value)
@@ -233,7 +242,8 @@ def cross_split_pairs(records: DataFrame, *, differing: float = 0.2, common: flo
             yield b.loc[[_same_words(list(x), list(y), told(p), told(q), known) for x, y, p, q in zip(b.words_ke, b.words_kt, b.typed_ke, b.typed_kt)], ["ke", "kt"]]
 
     word = lambda k: sets.select(F.col("kid").alias(k), F.col("words").alias(f"words_{k}"), F.col("typed").alias(f"typed_{k}"))
-    close = near.join(word("ke"), "ke").join(word("kt"), "kt").mapInPandas(verify, "ke binary, kt binary")
+    left_over = F.size(F.array_except("words_ke", "words_kt")) <= F.col("d")
+    close = near.join(word("ke"), "ke").join(word("kt"), "kt").where(left_over).drop("d").mapInPandas(verify, "ke binary, kt binary")
     same = sets.where("t and e").select(F.col("kid").alias("ke"), F.col("kid").alias("kt"))
     spelled = reduced.where("letters <> ''")
     glued = spelled.where("in_eval").select("letters", F.col("kid").alias("ke")).distinct().join(spelled.where("in_train").select("letters", F.col("kid").alias("kt")).distinct(), "letters").select("ke", "kt")
