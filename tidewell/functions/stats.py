@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +59,19 @@ def binomial_upper(hits: Column, n: Column, alpha: float = 0.05, steps: int = 40
 def decay_rate(changed_share: Column, age_seconds: Column) -> Column:
     """Rate of an exponential from a share clamped to [0.01, 0.99]."""
     return -F.log(1 - F.greatest(F.least(changed_share, F.lit(0.99)), F.lit(0.01))) / age_seconds
+
+
+# Coefficients of the rational approximation of the normal quantile.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile, relative error about 1e-9; null outside (0, 1)."""
+    poly = lambda cs, x: reduce(lambda acc, c: acc * x + c, cs[1:], F.lit(cs[0]))
+    tail = lambda x: poly(_C, x) / (poly(_D, x) * x + 1)
+    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
+    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
+    return F.when((p > 0) & (p < 0.02425), tail(low)).when((p > 1 - 0.02425) & (p < 1), -tail(high)).when((p > 0) & (p < 1), poly(_A, r) * q / (poly(_B, r) * r + 1))

@@ -14,9 +14,27 @@ def short_hash(text: Column, digits: int) -> Column:
     return F.substring(F.sha2(F.lower(F.trim(text)), 256), 1, digits)
 
 
+# Parts of a page that change without the page changing, blanked in this order.
+VOLATILE = (
+    r"\d{4}-\d{2}-\d{2}([t ]\d{2}:\d{2}(:\d{2})?)?", r"\d{1,2}:\d{2}(:\d{2})?", r"\d+ (second|minute|hour|day|week|month|year)s? ago", r"\d+(초|분|시간|일|주|개월|년) 전",
+    r"\d[\d,]* (views|shares|comments|reactions|likes)", r"(조회수|댓글|좋아요|공유) ?\d[\d,]*", r"(last )?updated:? .{0,40}", r"copyright .{0,40}", r"session id:? \w+", r"page generated .{0,40}",
+)
+
+
 def normal_text(text: Column) -> Column:
     """Lower case, volatile parts (times, dates, counters) blanked, white space single."""
-    s = F.regexp_replace(F.lower(text), r"\d{4}-\d{2}-\d{2}([t ]\d{2}:\d{2}(:\d{2})?)?|\d{1,2}:\d{2}(:\d{2})?|\d[\d,]* (views|shares|comments|reactions)", " ")
+    s = F.lower(text)
+    for pattern in VOLATILE:
+        s = F.regexp_replace(s, pattern, " ")
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def page_text(html: Column) -> Column:
+    """Text of markup: scripts, styles, comments and page furniture out with what they hold, tags out, entities read, white space single."""
+    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|nav|header|footer|aside|form|iframe|svg|button)\b[^>]*>.*?</\1\s*>", " ")
+    s = F.regexp_replace(s, r"(?s)</?[a-zA-Z][^<>]*>", " ")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        s = F.replace(s, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
