@@ -142,6 +142,70 @@ def test_wilson(spark):
     assert spark.range(1).select(*wilson(F.lit(0), F.lit(0))).first()[0] is None
 
 
+def test_text_functions(spark):
+    from tidewell.functions.text import normal_text, page_text
+
+    cases = {
+        "<html><head><style>p {x}</style></head><body><nav>Home</nav><p>Ralo &amp; <b>Benuti</b></p><script>var a = '<p>';</script></body></html>": "Ralo & Benuti",
+        "a < b and c > d": "a < b and c > d", "": "", "<!-- x -->one\n\ntwo": "one two", "5 &lt; 6&nbsp;7": "5 < 6 7",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", page_text(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in got} == cases
+    a, b = spark.createDataFrame([("Ralo  mill\n2011-02-03 10:22 12 views",), ("ralo mill 2012-03-04 1,223 views 3 hours ago",)], "t string").select(normal_text(F.col("t"))).collect()
+    assert a[0] == b[0] == "ralo mill"
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from tidewell.functions.stats import normal_quantile
+
+    ps = [1e-6, 0.01, 0.02425, 0.3, 0.5, 0.9, 0.999]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-7 for r in got)
+    assert [r[0] for r in spark.createDataFrame([(0.0,), (1.0,)], "p double").select(normal_quantile(F.col("p"))).collect()] == [None, None]
+
+
+def test_logistic_against_numpy(spark):
+    from tidewell.plans.texts import logistic
+
+    got = logistic(spark, DATA).first()
+    rows = spark.read.parquet(f"{DATA}/url_manifest.parquet").where("changed is not null and rank is not null").select("changed", "rank", "run_id").toPandas()
+    rows = rows[rows.run_id != "run_00"]
+    x = np.column_stack([np.ones(len(rows)), rows["rank"] / 10.0, np.log1p(rows.run_id.map({"run_01": 1.0, "run_02": 12.0, "run_03": 24.0, "run_04": 168.0}))])
+    y, w = rows.changed.astype(float).to_numpy(), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(3), x.T @ (y - p))
+    assert np.allclose([got.intercept, got["rank"], got.age], w, atol=1e-4)
+
+
+def test_files(spark, tmp_path):
+    from tidewell.sources.files import read_json_lines, write_once
+
+    (tmp_path / "x.json").write_text('{"a": 1, "b": "x"}\n\n{"a": 2, "b"\nnot json\n{"b": "y"}\n')
+    schema = spark.createDataFrame([], "a int, b string").schema
+    assert {(r.a, r.b) for r in read_json_lines(spark, f"file://{tmp_path}/x.json", schema).collect()} == {(1, "x"), (None, "y")}
+    assert read_json_lines(spark, f"file://{tmp_path}/absent", schema).count() == 0
+    df = spark.createDataFrame([(1,)], "a int")
+    assert write_once(df, f"file://{tmp_path}/w") and not write_once(df.union(df), f"file://{tmp_path}/w")
+    assert spark.read.parquet(f"file://{tmp_path}/w").count() == 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from tidewell.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="test tables absent")
 def test_queries_match_their_sql(spark):
     import duckdb
