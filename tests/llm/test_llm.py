@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm.boilerplate import content_lines, main_lines
+from tidewell.llm.boilerplate import content_lines, main_lines, stretches
 from tidewell.llm.consensus import Consensus, usable_labels
 from tidewell.llm.crosssplit import Speller, cross_split_pairs, distance, ko_stem, letters_of
 from tidewell.llm.groups import assign_splits, components, named_entities, record_groups, split_counts, subset_counts
@@ -174,6 +174,19 @@ def test_main_content(spark):
     assert len(lines) == 72 and all(sorted(r.main) == [2, 3, 4, 5, 6, 7] and r.n == 11 for r in lines)
 
 
+def test_surge_and_dive_decide(spark):
+    """Furniture that nothing repeats stays out by the bounds alone."""
+    body = [f"{n} repaired the mill near the new harbour within nine days." for n in NAMES[:3]]
+    links = [f"How {n} sold a canal" for n in NAMES]
+    text = "\n".join(["Desk of the day", "Change region", *links[:4], "", "Ralo opens crossings", *body, "- Ralo: 17", "Page generated now", *links[4:], *body[:1], "- Musera: 4", "Back to top"])
+    got = main_lines(text, "brand", {})
+    assert got == {7, 8, 9, 10, 11, 17, 18}  # two stretches, their data lines and the headline
+    assert len(main_lines(text, "brand", {}, bounds=False) - got) >= 8
+    assert stretches([0, 30, 0, 0, 40, 0, 0, 0, 0, 50], [False] * 10, 3, 25) == [(1, 4), (9, 9)]
+    assert stretches([30, 0, 0, 0, 0, 0, 30], [False, True, True, True, True, False, False], 3, 25) == [(0, 6)]
+    assert stretches([], [], 3, 25) == [] and stretches([10, 10, 0], [False] * 3, 3, 25) == []
+
+
 def test_main_lines_keeps_windows_line_ends_and_finds_nothing_in_menus():
     assert main_lines("Home\r\n\r\nAbout us", "brand", {}) == set()
     assert main_lines("Headline of the day\r\n\r\nThe mill near the harbour was repaired within nine days.\r\nShare this", "brand", {}) == {0, 2}

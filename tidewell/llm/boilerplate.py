@@ -1,10 +1,12 @@
 """Main content of pages by line-block distribution.
 
 Markup is stripped and every line gets a mass: its length if it reads as running text and is not a line that the
-host repeats on many pages, else nothing. Masses are summed over sliding windows of lines; the first window that
-surges above a threshold and the last one before the dive back to nothing bound the main text. The headline above
-the surge and list lines after the dive are taken in; inside the bounds, lines that the host repeats, prompts,
-counters, tags and runs of links are taken out by an exact check.
+host repeats on many pages, else nothing. Masses are summed over sliding windows of lines. Where a window's sum rises
+above a threshold the text surges, and where the windows after it hold nothing more it dives; what lies between a
+surge and its dive is main text, a page may have several such stretches, and all lines outside of them are
+furniture, whatever they say. Data lines that go on before a surge or after a dive and the headline above the first
+surge are taken in. An exact check takes out lines between the bounds that the host or many hosts repeat, menus and
+lists of links. No list of words decides.
 
 How many pages of its host (and how many hosts) have a line is counted over all texts; texts come with every
 number as 0.
@@ -29,13 +31,6 @@ from tidewell.session import cut
 
 WINDOW, SURGE = 3, 25  # lines in a block; characters of running text (a CJK character counts double) that make a surge
 
-# Labels over lists of links, and how prompts, counters, tags and advertising are worded.
-LABEL = re.compile(r"^(read next|most read|most popular|more from\b.*|related( articles| stories)?|you may also like|trending( now)?|recommended( for you)?|see also|popular now|editors' picks|don't miss|추천 글|추천 기사|관련 기사|관련 글|많이 본 뉴스|많이 본 기사|실시간 인기|인기 글|함께 보면 좋은 글|주요 뉴스|최신 기사)\s*:?$", re.I)
-INLINE = re.compile(r"^(read next|most read|more from [^:]*|related|you may also like|trending( now)?|recommended|see also|previous|next|tags?|topics|filed under|sponsored|ad|추천 글|관련 기사|많이 본 뉴스|실시간 인기|이전 글|다음 글|태그|share this page|home|홈)\s*[:>]\s*\S|^[←→‹›«»]|[←→‹›«»]$|^(#\S+\s*)(\S+ )?(\s*#\S.*)?$", re.I)
-PROMPT = re.compile(
-    r"^(skip to|skip ad|back to top|site map|log ?in\b|sign (in|up)\b|subscribe\b|follow .* for alerts|join \d|save for later|share\b|print\b|menu$|search$|advertisement|sponsored|promoted|updated \d|last updated|online now|page generated|change region|company no|powered by|© ?|ⓒ|copyright|all rights reserved|my account|advertise with us|terms of use|get the .* in your inbox|support independent|공유하기|기사 저장|조회수|좋아요|구독 |댓글|입력 \d|수정 \d|앱에서|로그인|전체메뉴|맨 위로|고객센터|등록번호|이용약관|개인정보|뉴스레터|광고$|ad 특가|이 배너는|쿠키|\d+분 전 업데이트)"
-    r"|^[\d,]+ (shares?|reactions?|comments?|views?)\b|\b(reactions?|comments?) · |(무단 ?전재|재배포 금지)|회원가입하고|\((min|\d+ min)\)$|minutes ago$|^subscribe from", re.I)
-COOKIES = re.compile(r"^© |^ⓒ |\bcookies?\b.{0,120}\b(accept|agree|reject|ok|got it|preferences|settings|policy|statement|choices|continuing)\b[^.]*$|\bcookies?\b.{0,80}\b(by continuing|your (visit|device|settings))\b|쿠키.{0,60}(동의|허용|거부|설정)", re.I)
 BULLET = re.compile(r"^([•·▪‣▶]|\d{1,2}[.)])\s+")
 DATA = re.compile(r"^[-*–]\s+\S.*([:(]|\d)|^\S.*\d[\d,.]*, \S.*\d[\d,.]*$|\t|^\|.*\|$")
 END = re.compile(r"[.!?。…](['\"”’)\]]*)$")
@@ -48,8 +43,9 @@ def line_counts(texts: DataFrame) -> DataFrame:
     lines = texts.select(*DOC, "page", F.xxhash64("host").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
     lines = lines.select(*DOC, "page", "h", "line_no", F.trim("l").alias("l")).where("l <> ''").select(*DOC, "page", "h", "line_no", F.xxhash64("l").alias("line"))
     lines = cut(lines, "lines")
-    once = lines.groupBy("h", "line").agg(F.countDistinct("page").alias("pages")).where("pages > 1")
-    hosts = lines.groupBy("line").agg(F.approx_count_distinct("h", 0.02).alias("hosts")).where("hosts > 1")
+    each = lines.groupBy("h", "line").agg(F.countDistinct("page").alias("pages"))
+    once = each.where("pages > 1")
+    hosts = each.groupBy("line").agg(F.count("*").alias("hosts")).where("hosts > 1")
     own = texts.groupBy(F.xxhash64("host").alias("h")).agg(F.countDistinct("page").alias("all_pages"))
     often = once.join(own, "h").select("h", "line", F.when(F.col("pages") >= 3, F.col("pages") / F.col("all_pages")).otherwise(0.0).alias("share"), "pages")
     seen = lines.drop("page").join(often, ["h", "line"], "left").join(hosts, "line", "left")
@@ -67,8 +63,6 @@ class Look(NamedTuple):
     sentence: bool
     data: bool
     bullet: bool
-    label: bool
-    prompt: bool
     menu: bool
 
 
@@ -76,65 +70,62 @@ class Look(NamedTuple):
 def _look(s: str) -> Look:
     words, bullet = _words(s), bool(BULLET.match(s))
     sentence = bool(END.search(s)) and words >= 4
-    label = bool(LABEL.match(s))
-    prompt = label or bool(COOKIES.search(s)) or not (sentence and words >= 9) and bool(PROMPT.search(s)) or bool(INLINE.search(s))
-    menu = not sentence and len(re.split(r"\s[|>/•·]\s|\s{2,}", s)) >= 3
-    return Look(words, sentence, not bullet and bool(DATA.search(s)), bullet, label, prompt, menu)
-
-
-def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], window: int = WINDOW, surge: int = SURGE) -> set[int]:
-    """Numbers (from 0) of the lines of the main text."""
-    lines = [TAG.sub("", x).replace(" ", " ").strip() for x in text.split("\n")]
-    n = len(lines)
-    running, furniture, links, repeated = [False] * n, [False] * n, [False] * n, [False] * n
-    after_label = False
-    for i, s in enumerate(lines):
-        if not s:
+    return Look(words, sentence, not bullet and bool(DATA.search(s)), bullet, not sentence and len(re.split(r"\s[|>/•·]\s|\s{2,}", s)) >= 3)
+
+
+def stretches(mass: list[int], bridges: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
+    """(surge, dive): first and last line of every stretch of text.
+
+    A window of lines whose masses reach ``surge`` begins a stretch at its first line with some; once ``window`` lines
+    in a row hold nothing, the last line with some was the dive. ``bridges`` are lines that count neither way.
+    """
+    out, k, n = [], 0, len(mass)
+    while k < n:
+        if not mass[k] or sum(mass[k : k + window]) < surge:
+            k += 1
             continue
+        last, empty, j = k, 0, k + 1
+        while j < n and empty <= window:
+            if mass[j]:
+                last, empty = j, 0
+            elif not bridges[j]:
+                empty += 1
+            j += 1
+        out.append((k, last))
+        k = last + 1
+    return out
+
+
+def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], window: int = WINDOW, surge: int = SURGE, *, bounds: bool = True) -> set[int]:
+    """Numbers (from 0) of the lines of the main text. Without ``bounds`` the exact check alone decides (to test what they do)."""
+    lines = [TAG.sub("", x).replace("\u00a0", " ").strip() for x in text.split("\n")]
+    full = [i for i, s in enumerate(lines) if s]
+    looks = [_look(lines[i]) for i in full]
+    repeated, own = [], []
+    for i, look in zip(full, looks):
         share, pages, hosts = seen.get(i, (0.0, 1, 1))
-        look = _look(s)
-        own = len(brand) > 3 and brand[:3] in s.casefold() and brand in re.sub(r"[\W_]+", "", s.casefold())
-        if look.prompt or own:
-            furniture[i] = True
-        elif share >= (0.3 if look.sentence else 0.1) and pages >= 3 and not look.data:
-            furniture[i] = repeated[i] = True
-        elif not look.sentence and not look.data and hosts >= 3 and (look.words <= 3 or share >= 0.02):
-            furniture[i] = repeated[i] = True
-        elif look.menu:
-            furniture[i] = True
-        if look.label:
-            after_label = True
-        elif after_label and not look.sentence and not look.data and not furniture[i]:
-            links[i] = True
-        else:
-            after_label = False
-        if look.bullet and not look.sentence:
-            links[i] = True
-        running[i] = look.sentence and not furniture[i] and not links[i]
-    mass = [(len(s) + len(CJK.findall(s))) if running[i] else 0 for i, s in enumerate(lines)]
-    blocks = [sum(mass[i : i + window]) for i in range(n)]
-    high = [i for i in range(n) if blocks[i] >= surge and mass[i]]
-    if not high:
+        s = lines[i].casefold()
+        own.append(len(brand) > 3 and brand[:3] in s and brand in re.sub(r"[\W_]+", "", s))
+        often = pages >= 3 and share >= (0.3 if look.sentence else 0.1) or not look.sentence and hosts >= 3
+        repeated.append(own[-1] or not look.data and often)
+    out = [r or k.menu or k.bullet and not k.sentence for r, k in zip(repeated, looks)]
+    mass = [len(lines[i]) + len(CJK.findall(lines[i])) if k.sentence and not k.bullet and not r else 0 for i, k, r in zip(full, looks, repeated)]
+    found = stretches(mass, [k.data for k in looks], window, surge)
+    if not found:
         return set()
-    start, stop = high[0], max(i for i in range(n) if mass[i])
-    keep = {i for i in range(start, stop + 1) if lines[i] and not furniture[i] and not links[i]}
-    # List lines that go on after the dive or stand before the surge; then the headline, nearest above.
-    ends = ((stop + 1, n, 1), (start - 1, -1, -1))
-    for first, last, step in ends:
-        for i in range(first, last, step):
-            s = lines[i]
-            if s and not furniture[i] and not links[i]:
-                if not DATA.search(s):
-                    break
-                keep.add(i)
-    top = min(keep)
-    above = range(top - 1, -1, -1)
-    title = next((i for i in above if lines[i] and not furniture[i] and not links[i]), None)
-    if title is None:  # links elsewhere repeat headlines, and one may follow a list of links
-        title = next((i for i in above if (links[i] or repeated[i]) and _words(lines[i]) >= 4 - 2 * bool(CJK.search(lines[i])) and not BULLET.match(lines[i])), None)
-    if title is not None:
-        keep.add(title)
-    return keep
+    keep = {x for a, b in (found if bounds else [(0, len(full) - 1)]) for x in range(a, b + 1) if not out[x]}
+    for a, b in found:
+        for way in (range(b + 1, len(full)), range(a - 1, -1, -1)):
+            for x in way:
+                if not out[x]:
+                    if not looks[x].data:
+                        break
+                    keep.add(x)
+    above = range(min(keep) - 1, -1, -1) if keep else []
+    title = next((x for x in above if not out[x]), None)
+    if title is None:  # links elsewhere repeat headlines
+        title = next((x for x in above if not (own[x] or looks[x].menu or looks[x].bullet) and looks[x].words >= 4 - 2 * bool(CJK.search(lines[full[x]])) and seen.get(full[x], (0.0, 1, 1))[0] < 0.5), None)
+    return {full[x] for x in keep} | ({full[title]} if title is not None else set())
 
 
 def content_lines(texts: DataFrame) -> DataFrame:
