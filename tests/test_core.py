@@ -142,6 +142,20 @@ def test_wilson(spark):
     assert spark.range(1).select(*wilson(F.lit(0), F.lit(0))).first()[0] is None
 
 
+def test_salted_join_is_the_plain_join(spark):
+    from tidewell.operators.skew import hot_keys, salted_join
+
+    rng = random.Random(6)
+    big = spark.createDataFrame([(i, rng.choice(["hot"] * 60 + [f"k{j}" for j in range(400)] + [None])) for i in range(3000)], "i int, k string")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), (None, 5)], "k string, v int")
+    hot = hot_keys(big, "k", parts=64)
+    assert hot == ["hot"]
+    for how in ("inner", "left"):
+        plain, salted = (sorted(map(str, x.select("i", "k", "v").collect())) for x in (big.join(small, "k", how), salted_join(big, small, "k", hot, F.col("i"), how=how)))
+        assert plain == salted
+    assert hot_keys(big.limit(0), "k") == [] and salted_join(big, small.limit(0), "k", hot, F.col("i")).count() == 0
+
+
 def test_text_functions(spark):
     from tidewell.functions.text import normal_text, page_text
 
