@@ -149,6 +149,17 @@ def test_residue(spark):
     assert got == set(bad)
 
 
+def test_slots_of_any_length():
+    import re
+
+    from tidewell.llm.residue import SLOT
+
+    for s in ("{{" + "x " * 90 + "}}", "${" + "y" * 90 + "}", "[" + "the text of this long part " * 4 + "here]", "__HEADLINE__", "%(" + "n" * 60 + ")s", "<% " + "z" * 70 + " %>"):
+        assert re.fullmatch(SLOT, s), s
+    for s in ("50% of 20 %", "a [1] b", "{a}", "x __ y __ z"):
+        assert not re.search(SLOT, s), s
+
+
 def test_residue_in_sentences_about_templates(spark):
     df, bad = pages(spark)
     rows = []
@@ -439,6 +450,21 @@ def test_truncation(spark):
     assert truncated(df.limit(0)).count() == 0
 
 
+def test_field_limits_decide_first(spark):
+    """Values at a limit end like headings, which are whole elsewhere: the spike alone tells them."""
+    rng = random.Random(53)
+    word = lambda: "".join(rng.choice("bdgklmnprstv") + rng.choice("aeiou") for _ in range(3))
+    heading = lambda: f"{word()} {word()} returns to the harbour"
+    body = lambda k: " ".join(f"{rng.choice(NAMES)} repaired the mill within {rng.randrange(90)} days." for _ in range(k))
+    rows = [(i, (heading() + "\n" if i % 3 == 0 else "") + body(rng.randrange(1, 5)), "free") for i in range(240)]
+    tails = [heading() for _ in range(12)]
+    same = [(500 + i, body(3)[:99] + ".\n" + t, "limited") for i, t in enumerate(tails)]
+    uneven = [(500 + i, body(3)[: 60 + 3 * i] + ".\n" + t, "limited") for i, t in enumerate(tails)]
+    found = lambda more: {r.doc_id: r.stage for r in truncated(spark.createDataFrame(rows + more, "doc_id long, text string, source string")).where("cut").collect()}
+    assert found(same) == {500 + i: "field_limit" for i in range(12)}
+    assert found(uneven) == {}
+
+
 def test_cut_lines_that_end_as_some_heading_does(spark):
     rng = random.Random(31)
     name = lambda: rng.choice(NAMES)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.groups import assign_splits, record_groups
+from tidewell.operators.skew import hot_keys, salted_join
 from tidewell.session import cut, table
 
 
@@ -17,7 +18,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _groups(spark, sf_dir).where("root is not null")
     first = groups.groupBy("root").agg(F.min("rid").alias("query_id_a"))
-    return groups.join(first, "root").where("rid <> query_id_a").select("query_id_a", F.col("rid").alias("query_id_b"))
+    return salted_join(groups, first, "root", hot_keys(groups, "root"), F.col("rid")).where("rid <> query_id_a").select("query_id_a", F.col("rid").alias("query_id_b"))
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
