@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.pages import DOC
 from tidewell.session import cut
 
+SPREAD = 0.005  # share of the hosts from which a line is everybody's
 WINDOW, SURGE = 3, 25  # lines in a block; characters of running text (a CJK character counts double) that make a surge
 
 BULLET = re.compile(r"^([•·▪‣▶]|\d{1,2}[.)])\s+")
@@ -96,8 +97,12 @@ def stretches(mass: list[int], bridges: list[bool], window: int, surge: int) ->
     return out
 
 
-def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], window: int = WINDOW, surge: int = SURGE, *, bounds: bool = True) -> set[int]:
-    """Numbers (from 0) of the lines of the main text. Without ``bounds`` the exact check alone decides (to test what they do)."""
+def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], window: int = WINDOW, surge: int = SURGE, *, spread: int = 3, bounds: bool = True) -> set[int]:
+    """Numbers (from 0) of the lines of the main text.
+
+    ``spread``: from so many hosts on, a line that is no sentence is everybody's. Without ``bounds`` the exact check
+    alone decides (to test what they do).
+    """
     lines = [TAG.sub("", x).replace("\u00a0", " ").strip() for x in text.split("\n")]
     full = [i for i, s in enumerate(lines) if s]
     looks = [_look(lines[i]) for i in full]
@@ -106,7 +111,7 @@ def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], w
         share, pages, hosts = seen.get(i, (0.0, 1, 1))
         s = lines[i].casefold()
         own.append(len(brand) > 3 and brand[:3] in s and brand in re.sub(r"[\W_]+", "", s))
-        often = pages >= 3 and share >= (0.3 if look.sentence else 0.1) or not look.sentence and hosts >= 3
+        often = pages >= 3 and share >= (0.3 if look.sentence else 0.1) or not look.sentence and hosts >= spread
         repeated.append(own[-1] or not look.data and often)
     out = [r or k.menu or k.bullet and not k.sentence for r, k in zip(repeated, looks)]
     mass = [len(lines[i]) + len(CJK.findall(lines[i])) if k.sentence and not k.bullet and not r else 0 for i, k, r in zip(full, looks, repeated)]
@@ -131,13 +136,14 @@ def main_lines(text: str, brand: str, seen: dict[int, tuple[float, int, int]], w
 def content_lines(texts: DataFrame) -> DataFrame:
     """(doc, size, line_no, main): every non-empty line of every text, numbered from 1."""
     both = texts.select(*DOC, "host", "text").join(line_counts(texts), DOC)
+    spread = max(3, round(SPREAD * texts.select("host").distinct().count()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             docs, sizes, nos, mains = [], [], [], []
             for doc, size, host, text, seen in zip(b.doc, b["size"], b.host, b.text, b.seen):
                 brand = re.sub(r"[\W_]+", "", host.split(".")[0].casefold())
-                keep = main_lines(text, brand, {x["line_no"]: (x["share"], x["pages"], x["hosts"]) for x in seen})
+                keep = main_lines(text, brand, {x["line_no"]: (x["share"], x["pages"], x["hosts"]) for x in seen}, spread=spread)
                 for i, s in enumerate(text.split("\n")):
                     if s.strip():
                         docs.append(doc), sizes.append(size), nos.append(i + 1), mains.append(i in keep)
