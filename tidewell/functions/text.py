@@ -29,11 +29,17 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+# Elements that hold no text of a page, and common entities.
+DROPPED = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "button")
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def page_text(html: Column) -> Column:
     """Text of markup: scripts, styles, comments and page furniture out with what they hold, tags out, entities read, white space single."""
-    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|nav|header|footer|aside|form|iframe|svg|button)\b[^>]*>.*?</\1\s*>", " ")
-    s = F.regexp_replace(s, r"(?s)</?[a-zA-Z][^<>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    s = html
+    for pattern in (r"(?s)<!--.*?-->", *(rf"(?is)<{tag}(\s[^<>]*)?>.*?</{tag}\s*>" for tag in DROPPED), r"(?s)</?[a-zA-Z][^<>]*>"):
+        s = F.regexp_replace(s, pattern, " ")
+    for name, sign in ENTITIES:
         s = F.replace(s, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

@@ -26,7 +26,9 @@ def _blocks(vectors: DataFrame, prefix: str, size: int) -> DataFrame:
     n = max(1, vectors.count())
     count = -(-n // size)
     placed = vectors.where("vec is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-    return placed.groupBy("block").agg(F.collect_list("id").alias(f"{prefix}_ids"), F.collect_list("vec").alias(f"{prefix}_vecs")).drop("block")
+    label = F.col("label") if "label" in vectors.columns else F.lit(None)
+    rows = F.collect_list(F.struct("id", "vec", label.cast("string").alias("label")))
+    return placed.groupBy("block").agg(rows.alias("r")).select(*[F.col(f"r.{c}").alias(f"{prefix}_{n}") for c, n in (("id", "ids"), ("vec", "vecs"), ("label", "labels"))])
 
 
 def _unit(vecs) -> np.ndarray:
@@ -41,18 +43,20 @@ def _pairs_of_blocks(queries: DataFrame, rows: DataFrame, block: int) -> DataFra
     return q.crossJoin(r).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // block)))
 
 
-def neighbour_counts(queries: DataFrame, rows: DataFrame, *, least: float, prior_only: bool = False, block: int = 2048) -> DataFrame:
-    """(query_id, n, best, best_id): how many rows of similarity ``least`` or more a query has, and the nearest (the smaller id on ties).
+def neighbour_counts(queries: DataFrame, rows: DataFrame, *, least: float, prior_only: bool = False, recent: int = 5000, block: int = 2048) -> DataFrame:
+    """(query_id, n, best, best_id, n_recent, n_same): how many rows of similarity ``least`` or more a query has, the
+    nearest (the smaller id on ties), how many of the rows lie among the ``recent`` ids before it and how many share its ``label``.
 
     Counts leave a task, not pairs.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for qi, qv, ri, rv in zip(b.q_ids, b.q_vecs, b.r_ids, b.r_vecs):
+            for qi, qv, ql, ri, rv, rl in zip(b.q_ids, b.q_vecs, b.q_labels, b.r_ids, b.r_vecs, b.r_labels):
                 qi, ri, q, r = np.asarray(qi), np.asarray(ri), _unit(qv), _unit(rv)
                 order = np.argsort(ri)
-                ri, r = ri[order], r[order]
+                ri, r, rl = ri[order], r[order], np.asarray(rl, dtype=object)[order]
+                same = np.array([[x is not None and x == y for y in rl] for x in ql]) if any(x is not None for x in ql) else np.zeros((len(qi), len(ri)), dtype=bool)
                 sim = np.round(q @ r.T, 6)
                 ok = (sim >= least) & (qi[:, None] != ri[None, :]) & q.any(1)[:, None] & r.any(1)[None, :]
                 if prior_only:
@@ -60,11 +64,11 @@ def neighbour_counts(queries: DataFrame, rows: DataFrame, *, least: float, prior
                 masked = np.where(ok, sim, -9.0)
                 top = masked.argmax(1)
                 some = ok.any(1)
-                yield pd.DataFrame({"query_id": qi, "n": ok.sum(1), "best": masked.max(1), "best_id": ri[top]})[some]
+                yield pd.DataFrame({"query_id": qi, "n": ok.sum(1), "best": masked.max(1), "best_id": ri[top], "n_recent": (ok & (ri[None, :] < qi[:, None]) & (ri[None, :] >= qi[:, None] - recent)).sum(1), "n_same": (ok & same).sum(1)})[some]
 
-    part = _pairs_of_blocks(queries, rows, block).mapInPandas(run, "query_id long, n long, best double, best_id long")
+    part = _pairs_of_blocks(queries, rows, block).mapInPandas(run, "query_id long, n long, best double, best_id long, n_recent long, n_same long")
     best = F.max(F.struct("best", (-F.col("best_id")).alias("i"))).alias("b")
-    return part.groupBy("query_id").agg(F.sum("n").alias("n"), best).select("query_id", "n", "b.best", (-F.col("b.i")).alias("best_id"))
+    return part.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("n", "n_recent", "n_same")], best).select("query_id", "n", "b.best", (-F.col("b.i")).alias("best_id"), "n_recent", "n_same")
 
 
 class CellIndex:

@@ -78,6 +78,13 @@ def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return CellIndex(v).search(v.where("id % 20 = 0"), k=10)
 
 
+def neighbour_density(spark: SparkSession, d: str) -> DataFrame:
+    """Rows at cosine 0.2 or more before a query: all, the last 200, those of its own label and of others, and whether any is at 0.4."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    n = neighbour_counts(v.where("id % 20 = 0"), v, least=0.2, prior_only=True, recent=200)
+    return n.select("query_id", "n", "n_recent", "n_same", (F.col("n") - F.col("n_same")).alias("n_other"), (F.col("best") >= 0.4).alias("close"))
+
+
 def neighbour_labels(spark: SparkSession, d: str) -> DataFrame:
     """How often the nearest neighbour has the same label."""
     labels = table(spark, d, "embeddings").select("vec_id", "label")
@@ -150,7 +157,7 @@ select {by}, count(*) as n_sessions, sum(n)::bigint as n, max(n) as longest from
 
 
 QUERIES = {
-    "join_asof_versions": asof_versions, "join_round_pairs": round_pairs, "join_outcomes": outcomes, "knn_exact": top_neighbours, "knn_prior": prior_neighbours, "knn_labels": neighbour_labels,
+    "join_asof_versions": asof_versions, "join_round_pairs": round_pairs, "join_outcomes": outcomes, "knn_exact": top_neighbours, "knn_prior": prior_neighbours, "knn_labels": neighbour_labels, "knn_density": neighbour_density,
     "knn_index": indexed_neighbours, "knn_index_recall": indexed_recall, "win_page_sessions": page_sessions, "win_event_sessions": event_sessions, "win_repeats": repeats, "win_gaps": gaps, "win_zipf": zipf_weights,
 }
 SQL = {
@@ -168,6 +175,9 @@ q as (select run_id, query_id, max((h0 <> h1)::int) as c, count(h0 <> h1) as kno
 select run_id, case when c = 1 then 'CHANGED' when known = n then 'UNCHANGED' else 'UNOBSERVABLE' end as outcome, count(*) as n from q group by 1, 2""",
     "knn_exact": f"with {_SIM} select query_id, id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, id) as n from s) where n <= 10",
     "knn_prior": f"with {_SIM} select query_id, count(*) as n_prior, max(similarity) as best, arg_max(id, (similarity, -id)) as best_id from s where id < query_id and similarity >= 0.3 group by 1",
+    "knn_density": f"""
+with {_SIM}, p as (select s.*, x.label = y.label as same from s join embeddings x on x.vec_id = s.query_id join embeddings y on y.vec_id = s.id where s.id < s.query_id and similarity >= 0.2)
+select query_id, count(*) as n, sum((id >= query_id - 200)::int) as n_recent, sum(coalesce(same, false)::int) as n_same, sum((not coalesce(same, false))::int) as n_other, max(similarity) >= 0.4 as close from p group by 1""",
     "knn_labels": f"""
 with {_SIM}, b as (select query_id, id from (select *, row_number() over (partition by query_id order by similarity desc, id) as n from s) where n = 1)
 select x.label as own, count(*) as n, sum((x.label = y.label)::int) as n_same from b join embeddings x on x.vec_id = b.query_id join embeddings y on y.vec_id = b.id group by 1""",

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import stats as S
 from tidewell.functions import text as T
 from tidewell.functions.stats import normal_quantile
 from tidewell.functions.urls import canonical_url
@@ -172,12 +173,32 @@ def _normal_sql(c: str) -> str:
     return rf"trim(regexp_replace({s}, '\s+', ' ', 'g'))"
 
 
+def _page_sql(c: str) -> str:
+    s = c
+    for p in ("(?s)<!--.*?-->", *(rf"(?is)<{tag}(\s[^<>]*)?>.*?</{tag}\s*>" for tag in T.DROPPED), "(?s)</?[a-zA-Z][^<>]*>"):
+        s = f"regexp_replace({s}, '{p}', ' ', 'g')"
+    for name, sign in T.ENTITIES:
+        s = f"replace({s}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({s}, '\s+', ' ', 'g'), ' ')"
+
+
+def _quantile_sql(p: str) -> str:
+    poly = lambda cs, x: "(" * (len(cs) - 1) + repr(cs[0]) + "".join(f" * {x} + {c!r})" for c in cs[1:])
+    tail = lambda x: f"({poly(S._C, x)} / ({poly(S._D, x)} * {x} + 1))"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    return f"case when {p} > 0 and {p} < 0.02425 then {tail(f'sqrt(-2 * ln({p}))')} when {p} > 0.97575 and {p} < 1 then -{tail(f'sqrt(-2 * ln(1 - {p}))')} when {p} > 0 and {p} < 1 then {poly(S._A, r)} * ({p} - 0.5) / ({poly(S._B, r)} * {r} + 1) end"
+
+
 QUERIES = {
     "fn_normal_hashes": normal_hashes, "fn_page_texts": page_texts, "fn_term_cosine": term_cosine, "fn_equivalence": equivalence, "fn_number_guards": number_guards, "fn_comparing_guards": comparing_guards,
     "fn_time_words": time_words, "fn_korean_forms": korean_forms, "etl_contexts": contexts, "etl_evidence": evidence, "etl_headers": headers, "fn_token_coverage": token_coverage, "fn_quantiles": quantiles, "st_logistic": logistic,
 }
 _FAM = "list_filter([" + ", ".join(f"case when regexp_matches(lower({{0}}), '{p}') then '{n}' end" for n, p in FAMILIES.items()) + "], lambda x: x is not null)"
 SQL = {
+    "fn_quantiles": f"with m as (select domain, count(*) as n, avg(changed::int)::double as p from url_manifest where changed is not null group by 1) select domain, n, round(p, 9) as p, round({_quantile_sql('p')}, 6) as z from m",
+    "fn_page_texts": f"""
+with x as (select 'documents' as kind, text from documents where text is not null union all select 'answers', answer from answers where answer is not null), y as (select kind, text, {_page_sql("text")} as plain from x)
+select kind, count(*) as n, sum(regexp_matches(text, '</?[a-zA-Z][^<>]*>')::int) as n_tags, sum(length(plain))::bigint as n_chars, count(distinct md5(plain)) as n_distinct from y group by 1""",
     "fn_normal_hashes": f"select run_id, count(distinct md5(extracted_text)) as n_texts, count(distinct md5({_normal_sql('extracted_text')})) as n_normal from l3_cache where extracted_text <> '' group by 1",
     "fn_term_cosine": f"""
 with {_REWORDINGS}, k as (select distinct query_id, query, base from j), t as (select query_id, query, base, unnest({_TOK.format("query")}) as w, 1 as a, 0 as b from k union all select query_id, query, base, unnest({_TOK.format("base")}), 0, 1 from k),
