@@ -15,7 +15,7 @@ def page_rows(cache: DataFrame) -> DataFrame:
     """(row_id, doc, size, host, page, status, text) of the rows with some text. Null or blank texts are no rows here."""
     url = F.coalesce(F.col("canonical_url"), F.lit(""))
     host, text = domain(url), F.col("extracted_text")
-    rows = cache.where(F.trim(F.regexp_replace(text, r"[\s ​]+", " ")) != "")
+    rows = cache.where(text.rlike(r"[^\s ​]"))
     return rows.select("row_id", F.xxhash64(host, text).alias("doc"), F.length(text).alias("size"), host.alias("host"), F.xxhash64(canonical_url(url)).alias("page"), F.coalesce("status_code", F.lit(0)).alias("status"), text.alias("text"))
 
 

@@ -41,7 +41,7 @@ ERRORS = (
 )
 ABOUT = r"\b(template|templates|manual|brackets|braces|renderer|syntax|markup|stands for|guide explains)\b|템플릿|괄호|자리표시|중괄호|치환|설명서"
 
-SLOT = "(?:" + "|".join(SLOTS) + ")"
+SLOT = r"(?=[{$#<\[@_%])(?:" + "|".join(SLOTS) + ")"  # what begins a slot is looked at first
 BUCKETS = 1 << 18
 
 
@@ -58,7 +58,7 @@ def passages(texts: DataFrame) -> DataFrame:
 def _cued(passage: Column) -> Column:
     """A fixed filler cue, or a fixed error cue in a passage of ten words or less without quotes; the long patterns run on short passages alone."""
     brief = F.length(passage) <= 120
-    error = passage.rlike(ERRORS) & (F.size(F.split(passage, " ")) <= 10) & ~passage.rlike("[\"'“”‘’](?!t )")
+    error = (F.size(F.split(passage, " ")) <= 10) & passage.rlike(ERRORS) & ~passage.rlike("[\"'“”‘’](?!t )")
     return passage.startswith("lorem ipsum ") | brief & (passage.rlike(FILLER) | error)
 
 
@@ -72,11 +72,12 @@ def brand_pattern(host: Column) -> Column:
     return F.when(F.length(label) < 3, F.lit(r"(?!)")).otherwise(F.concat(F.lit(r"(?i)\b"), F.regexp_replace(label, r"(.)(?=.)", r"$1[ -]?"), F.lit(r"\b")))
 
 
-def features(passage: Column) -> Column:
+def with_features(df: DataFrame, passage: str) -> DataFrame:
+    """``df`` with ``features``: hashed words and pairs; words are split once, in a step of their own."""
     words = F.filter(F.split(passage, r"[\s\p{Punct}·•…“”‘’]+"), lambda w: w != "")
-    ends = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
-    pairs = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.transform(F.concat(words, pairs), lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))
+    split = df.withColumn("_words", words).withColumn("_ends", F.concat(F.array(F.lit("^")), "_words", F.array(F.lit("$"))))
+    pairs = F.zip_with(F.slice("_ends", F.lit(1), F.size("_ends") - 1), F.slice("_ends", F.lit(2), F.size("_ends")), lambda a, b: F.concat(a, F.lit(" "), b))
+    return split.withColumn("features", F.transform(F.concat("_words", pairs), lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))).drop("_words", "_ends")
 
 
 class NaiveBayes:
@@ -144,7 +145,7 @@ def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2
     least = max(2.0, usual * texts.where(trusted).count())
     seed = (F.col("t") >= least) & (F.col("h1") != F.col("h2")) & (F.col("n") - F.col("t") <= common * F.col("t")) | _cued(F.col("passage"))
     slot = F.col("passage").contains("⟦⟧")
-    known = cut(one.select("passage", F.xxhash64("passage").alias("pid"), "n", seed.alias("seed"), slot.alias("slot"), features(F.col("passage")).alias("features")), "passages")
+    known = cut(with_features(one.select("passage", F.xxhash64("passage").alias("pid"), "n", seed.alias("seed"), slot.alias("slot")), "passage"), "passages")
 
     plain = known.where(~F.col("slot")).select("pid", "features", F.col("n").cast("double"), "seed")
     fit = cut(_sampled(plain.where("seed"), "pid", sample).unionByName(_sampled(plain.where("not seed"), "pid", sample)).select("features", "n", F.when(F.col("seed"), 0.9).otherwise(prior).alias("prior")), "fit")
@@ -158,7 +159,7 @@ def residue_docs(texts: DataFrame, *, trusted_size: int = 500, common: float = 2
     many = F.size(F.split("passage", "⟦⟧")) > 2
     about = F.when(many, 0.2).otherwise(0.02)
     near = known.where("slot").select("pid", "n", F.when(F.col("passage").rlike(ABOUT), about).when(words <= 4, 0.98).otherwise(0.9).alias("prior"), around.alias("w"))
-    near = cut(near.select("pid", F.col("n").cast("double"), "prior", features(F.col("w")).alias("features")), "slots")
+    near = cut(with_features(near.select("pid", F.col("n").cast("double"), "prior", "w"), "w").drop("w"), "slots")
     slots = NaiveBayes(_sampled(near, "pid", sample))
     odds = F.log(F.col("prior") / (1 - F.col("prior")))
     unfilled = slots.score(near).where(F.col("llr") + odds > 0).select("pid")
