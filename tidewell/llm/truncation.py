@@ -44,12 +44,12 @@ def _last(words: Column, k: int) -> Column:
     return F.array_join(F.slice(words, F.greatest(F.size(words) - k + 1, F.lit(1)), k), " ")
 
 
-def _inside(bare: Column) -> list[Column]:
+def _inside(bare: Column, korean: Column) -> list[Column]:
     """Keys of the runs of three words, and of the Korean words, of ``bare``; slices beside one another, so the work stays linear in its words."""
     n = F.greatest(F.size(bare) - 2, F.lit(0))
     pairs = F.zip_with(F.slice(bare, F.lit(1), n), F.slice(bare, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
     threes = F.zip_with(pairs, F.slice(bare, F.lit(3), n), lambda a, b: F.xxhash64(F.lit("in"), F.concat(a, F.lit(" "), b)))
-    return [threes, F.transform(F.filter(bare, lambda x: x.rlike(r"[가-힣]")), lambda x: F.xxhash64(F.lit("in"), x))]
+    return [threes, F.when(korean, F.transform(F.filter(bare, lambda x: x.rlike(r"[가-힣]")), lambda x: F.xxhash64(F.lit("in"), x))).otherwise(F.expr("cast(array() as array<bigint>)"))]
 
 
 def length_spikes(docs: DataFrame, *, ratio: float = 3.0, least: int = 6, around: int = 12) -> DataFrame:
@@ -76,15 +76,16 @@ def truncated(documents: DataFrame, *, title: float = 0.5) -> DataFrame:
     segments = lines.select((F.col("at") < F.col("end")).alias("inner"), F.posexplode(F.split("line", r"(?<=[.!?。])\s+")).alias("nth", "seg"))
     words = F.split(_skeleton(F.col("seg")), " ")
     titled = F.col("inner") & (F.col("nth") == 0) & ~F.substring(F.rtrim("seg"), -12, 12).rlike(TERMINAL)  # a line inside a text that ends no sentence
-    segments = segments.select((F.col("nth") == 0).alias("alone"), titled.alias("titled"), words.alias("w")).where("size(w) > 0 and w[0] <> ''")
-    followed = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x: F.regexp_replace(x, r"[,;:]+$", ""))
-    segments = segments.select("alone", "titled", "w", F.slice("w", 1, FIRST).alias("head"), followed.alias("followed"))
+    segments = segments.select((F.col("nth") == 0).alias("alone"), titled.alias("titled"), F.col("seg").rlike(r"[가-힣]").alias("ko"), words.alias("w"))
+    followed = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x: F.rtrim(x, F.lit(",;:")))
+    segments = segments.select("alone", "titled", "ko", "w", F.slice("w", 1, FIRST).alias("head"), followed.alias("followed"))
     # One pass for the beginnings of segments and for what their words say before other words.
     no = F.lit(False)
     begun = F.transform(F.expr(f"sequence(1, least(size(w), {FIRST}))"), lambda k: F.struct(F.xxhash64(F.array_join(F.slice("head", F.lit(1), k), " ")).alias("p"), (k == F.size("w")).alias("same"), F.col("alone").alias("alone"), F.col("titled").alias("titled")))
-    long = F.when(F.size("w") > FIRST, F.array(F.struct(F.xxhash64(F.array_join("w", " ")).alias("p"), F.lit(True).alias("same"), F.col("alone").alias("alone"), F.col("titled").alias("titled")))).otherwise(F.slice(begun, 1, 0))
-    inside = [F.transform(runs, lambda e: F.struct(e.alias("p"), no.alias("same"), no.alias("alone"), no.alias("titled"))) for runs in _inside(F.col("followed"))]
-    starts = segments.select(F.explode(F.concat(begun, long, *inside)).alias("s")).select("s.*")
+    long = F.when(F.size("w") > FIRST, F.array(F.struct(F.xxhash64(F.array_join("w", " ")).alias("p"), F.lit(True).alias("same"), F.col("alone").alias("alone"), F.col("titled").alias("titled")))).otherwise(F.expr("cast(array() as array<struct<p:bigint,same:boolean,alone:boolean,titled:boolean>>)"))
+    inside = [F.transform(runs, lambda e: F.struct(e.alias("p"), no.alias("same"), no.alias("alone"), no.alias("titled"))) for runs in _inside(F.col("followed"), F.col("ko"))]
+    # Segments of marks alone say nothing; a filter would be pushed below and split all words again.
+    starts = segments.select(F.explode(F.when(F.col("w")[0] != "", F.concat(begun, long, *inside))).alias("s")).select("s.*")
     starts = cut(starts.groupBy("p").agg(F.count("*").alias("starting"), F.sum(F.col("same").cast("int")).alias("same"), F.sum((F.col("same") & F.col("alone")).cast("int")).alias("own_line"), F.sum(F.col("titled").cast("int")).alias("titled")), "starts")
     inner = lines.where("at < end").select("h", F.rtrim("line").alias("line")).where(~F.substring("line", -12, 12).rlike(TERMINAL))
     inner_words = F.split(_skeleton(F.col("line")), " ")
