@@ -98,7 +98,7 @@ class CellIndex:
 
         return df.select("id", "vec").mapInPandas(run, df.select("id", "vec").schema.add("cell", IntegerType()))
 
-    def search(self, queries: DataFrame, *, k: int = 10, probes: float = 0.5) -> DataFrame:
+    def search(self, queries: DataFrame, *, k: int = 10, probes: float = 0.75) -> DataFrame:
         """(query_id, id, similarity): the best ``k`` rows among those of the nearest share ``probes`` of the cells."""
         some = queries.where("vec is not null and exists(vec, x -> x <> 0)")
         asked = self._placed(some, max(1, round(probes * self.cells))).select(F.col("id").alias("query_id"), F.col("vec").alias("q"), "cell")
