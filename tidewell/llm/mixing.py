@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewell.session import cut
 
 MOST_TARGETS = 1000
-STEPS = 16  # divisors tried in one pass over the shards
+STEPS = 64  # divisors tried in one pass over the shards
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
@@ -64,7 +64,7 @@ def apportion_shards(shards: DataFrame, seats: dict[str, int]) -> DataFrame:
     low = {r["source"]: 0.0 for r in ends}
     want = {s: min(float(seats[s]), float(r["caps"])) for r in ends for s in [r["source"]]}
     names = [s for s in names if s in low]
-    for _ in range(14 if names else 0):  # STEPS ** 14 is beyond a double's precision
+    for _ in range(9 if names else 0):  # STEPS ** 9 is beyond a double's precision
         step = {s: (high[s] - low[s]) / STEPS for s in names}
         sums = shards.groupBy("source").agg(*[F.sum(held(of(low) + of(step) * i)).alias(f"s{i}") for i in range(1, STEPS)]).collect()
         for r in sums:
