@@ -1,6 +1,8 @@
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from tidewell.llm.groups import assign_splits, components, named_entities, recor
 from tidewell.llm.mixing import apportion_shards, mix, sainte_lague
 from tidewell.llm.packing import best_fit, pack
 from tidewell.llm.pages import distinct_texts, page_rows
-from tidewell.llm.pairs import defects
+from tidewell.llm.pairs import BUCKETS, PER, LanguageModel, _counted, _grams, _word, defects
 from tidewell.llm.residue import residue_docs
 from tidewell.llm.tokens import with_tokens
 from tidewell.llm.truncation import truncated
@@ -226,6 +228,38 @@ def test_pair_defects(spark):
     assert defects(df.limit(0), labelled.limit(0)).count() == 0
 
 
+def test_pair_defects_learn_from_all_texts_and_responses(spark):
+    rng = random.Random(11)
+    common = "the town of had inhabitants in year and river mill was near old who kept register".split()
+    rare = ["".join(rng.choice(["ter", "ing", "ver", "ment", "old", "mill", "ers"]) for _ in range(4)) for _ in range(700)]
+    rare = sorted(set(rare))[:600]
+    labelled = [("en", " ".join(rng.sample(common, 8)) + f" {i}") for i in range(9000)] + [("ko", f"지난해 마을에는 몇 명이 살았나요 {i}") for i in range(200)]
+    # Each rare word stands in two familiar responses among many, so a response of rare words is of the same language.
+    plain = [f"the old mill near the river was kept in the year {i}." for i in range(14_000)] + [f"the old {w} near the river was kept in {y}." for w in rare for y in (2011, 2012)]
+    asked = [" ".join(rare[i : i + 6]) + "." for i in range(0, 600, 6)]
+    pairs = spark.createDataFrame([("who kept the register of the old mill", a) for a in plain + asked], "prompt string, response string")
+    of = spark.createDataFrame(labelled, "lang string, text string")
+    assert [r.response for r in defects(pairs, of).where("defect is not null").collect()] == []
+    model = LanguageModel(of)
+    assert model.langs == ["en", "ko"]
+    grams, texts = Counter(g for _, t in labelled[:9000] for g in _grams(t)), Counter(w for _, t in labelled[:9000] for w in {_word(w) for w in t.split() if w.isalpha()})
+    table = np.zeros(BUCKETS)
+    for g, n in grams.items():
+        table[g] = np.log1p(n * PER / 9000)
+    assert np.allclose(model.log_p[0], np.log(0.9 * table / table.sum() + 0.1 / BUCKETS))
+    assert set(np.flatnonzero(model.seen[0])) == {w for w, n in texts.items() if n > 9000 / PER}
+
+
+def test_language_counts_in_partial_sums():
+    b = pd.DataFrame({"lang": ["en", "en", "ko"] * 20, "text": ["The old mill, the mill.", "mill of Ralo", "강의 수위는 얼마였나요"] * 20})
+    whole = pd.concat(_counted(iter([b])))
+    parts = pd.concat(_counted(iter([b[:7], b[7:30], b[30:]]), held=2))
+    assert len(parts) > len(whole)
+    of = whole.set_index(["lang", "gram"]).n
+    assert of.to_dict() == parts.groupby(["lang", "gram"]).n.sum().to_dict()
+    assert of["en", -1] == 40 and of["en", BUCKETS + _word("mill")] == 40 and of["en", BUCKETS + _word("old")] == 20 and ("en", BUCKETS + _word("ralo")) not in of
+
+
 # --- 5: groups ---------------------------------------------------------------------------------------------------
 
 

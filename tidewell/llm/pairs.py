@@ -3,9 +3,9 @@
 Language: a naive Bayes over character n-grams gives the posteriors of prompt and response; they are compared
 where the response is a sentence, without the names it shares with the prompt. The languages are those of the
 labelled texts and one more class for all languages without labelled texts, in which nearly all words are new to the
-prompt's language; which and how many words of its own responses are new is learned from responses. The model's n-grams and
-words are hashed into a fixed number of buckets, so it has a proven size and may be broadcast; it is fitted on at most
-about ``sample`` labelled texts and as many responses. A prompt whose own language is unclear (mostly names) decides nothing.
+prompt's language; which and how many words of its own responses are new is learned from responses. All labelled texts and
+all responses are counted. The model's n-grams and words are hashed into a fixed number of buckets, so it has a proven size
+and may be broadcast. A prompt whose own language is unclear (mostly names) decides nothing.
 
 Truncation: the likelihood that a text ends after its last words, from the ends of all responses, with back-off from
 three words to two and one. A response without a final stop is whole if the same wording ends with a stop elsewhere
@@ -23,6 +23,7 @@ import html
 import re
 import unicodedata
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from tidewell.session import cut
 
-BUCKETS, WORDS = 1 << 16, 1 << 18
+BUCKETS, WORDS = 1 << 16, 1 << 22
+PER = 1000  # counts of a language with more texts are taken as a rate per so many, so that the model does not change with the size of the tables
 
 # How responses decline; sentences that go on to answer do not use these forms.
 REFUSAL = re.compile(
@@ -71,6 +73,7 @@ def _grams(text: str) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=100_000)
 def _word(word: str) -> int:
     """Bucket of a word; of a Korean word the last two syllables count."""
     if re.search("[가-힣]", word):
@@ -78,67 +81,88 @@ def _word(word: str) -> int:
     return zlib.crc32(word.casefold().encode()) % WORDS
 
 
-def _some(rows: DataFrame, key: str, sample: int) -> DataFrame:
-    """About ``sample`` of the rows, by hash."""
-    n = max(1, rows.count())
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000))
+class _TokenWords(dict):
+    """Buckets of the words of a token; a capitalised token (mostly a name) has none."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        self[token] = () if token[:1].isupper() else tuple(_word(w) for w in re.findall(r"[^\W\d_]+", token))
+        return self[token]
+
+
+def _counted(batches: Iterator[pd.DataFrame], *, held: int = 300_000) -> Iterator[pd.DataFrame]:
+    """Per language the occurrences of n-grams, the texts with a word (from BUCKETS on) and all texts (-1), in partial sums
+    of at most about ``held`` distinct tokens."""
+    known, tokens, found, texts = _TokenWords(), defaultdict(Counter), defaultdict(Counter), Counter()
+
+    def sums() -> Iterator[pd.DataFrame]:
+        for lang, n in texts.items():
+            grams = Counter({-1: n})
+            for token, c in tokens[lang].items():
+                if not token[:1].isupper():
+                    for g in _grams(token):
+                        grams[g] += c
+            for at, c in ((0, grams), (BUCKETS, found[lang])):
+                yield pd.DataFrame({"lang": lang, "gram": np.fromiter(c.keys(), np.int64, len(c)) + at, "n": np.fromiter(c.values(), np.int64, len(c))})
+        for kept in (known, tokens, found, texts):
+            kept.clear()
+
+    for b in batches:
+        for lang, text in zip(b.lang, b.text):
+            said = text.split()
+            texts[lang] += 1
+            tokens[lang].update(said)
+            found[lang].update(set().union(*map(known.__getitem__, set(said))))
+            if len(known) > held:
+                yield from sums()
+    yield from sums()
 
 
 class LanguageModel:
-    """Naive Bayes over hashed character n-grams; the labelled texts are counted on Spark."""
-
-    def __init__(self, labelled: DataFrame, sample: int = 4000):
-        held = _some(labelled, "text", sample)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                pairs = []
-                for lang, t in zip(b.lang, b.text):
-                    words = [w for w in (t or "").split() if not w[:1].isupper()]
-                    pairs += [(lang, g) for g in _grams(" ".join(words))]
-                    pairs += [(lang, BUCKETS + g) for g in {_word(w) for x in words for w in re.findall(r"[^\W\d_]+", x)}]
-                yield pd.DataFrame(pairs, columns=["lang", "gram"])
-
-        counts = held.select("lang", "text").mapInPandas(run, "lang string, gram int").groupBy("lang", "gram").count().toPandas()  # at most labels x (BUCKETS + WORDS) rows
-        self.langs = sorted({*counts.lang})
+    """Naive Bayes over hashed character n-grams; all labelled texts are counted on Spark."""
+
+    def __init__(self, labelled: DataFrame):
+        held = labelled.select("lang", "text").where("lang is not null and text is not null")
+        counts = cut(held.mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        texts = {r["lang"]: r["n"] for r in counts.where("gram = -1").collect()}  # a row a language
+        self.langs = sorted(texts)
         table, self.seen = np.zeros((len(self.langs), BUCKETS)), np.zeros((len(self.langs), WORDS), dtype=bool)
-        for lang, gram, c in counts.itertuples(index=False):
-            if gram < BUCKETS:
-                table[self.langs.index(lang), gram] += c
-            else:
-                self.seen[self.langs.index(lang), gram - BUCKETS] = c > 1  # once may be a slip
-        # A gram's presence counts, not how often a bounded sample repeats it: counts are damped.
+        for i, lang in enumerate(self.langs):
+            of = counts.where(F.col("lang") == lang)
+            grams = of.where(F.col("gram").between(0, BUCKETS - 1)).select("gram", "n").toPandas()  # at most BUCKETS rows
+            table[i, grams.gram] = grams.n * min(1.0, PER / texts[lang])
+            # once may be a slip, and so may once in PER texts; at most WORDS rows
+            self.seen[i, of.where((F.col("gram") >= BUCKETS) & (F.col("n") > 1) & (F.col("n") * PER > texts[lang])).select(F.col("gram") - BUCKETS).toPandas().iloc[:, 0].to_numpy(np.int64)] = True
+        # A gram's presence counts, not how often texts repeat it: counts are damped.
         table = np.log1p(table)
         share = table / np.maximum(table.sum(1, keepdims=True), 1.0)
-        self.log_p = np.log(0.9 * share + 0.1 / BUCKETS)  # what is unseen tells nothing, however large a language's sample
+        self.log_p = np.log(0.9 * share + 0.1 / BUCKETS)  # what is unseen tells nothing, however many texts a language has
         self.new = np.full(len(self.langs), 0.5)
 
-    def learn_new(self, pairs: DataFrame, sample: int) -> None:
-        """How often words of responses are new to their prompt's language, from about ``sample`` responses.
+    def learn_new(self, read: DataFrame) -> None:
+        """How often words of responses are new to their prompt's language, from all responses (``own``, ``total``, ``fresh``, ``often`` of `defects`).
 
         A word that labelled texts lack is not new if it mostly stands in responses that are familiar otherwise.
         """
-        rows = []
-        for r in _some(pairs, "response", sample).select("prompt", "response").collect():  # a bounded sample
-            words, asked = _sentence_words(r["prompt"], r["response"]), self.asked(r["prompt"])
-            if len(words) >= 4 and len(asked) and asked.max() > 0.9:
-                rows.append((int(asked.argmax()), [_word(w) for w in words]))
-        for own in range(len(self.langs)):
-            held = [w for i, w in rows if i == own]
-            share = [sum(self.seen[own, x] for x in w) / len(w) for w in held]
-            if held:
-                bar, with_, alone = 0.5 * float(np.mean(share)), np.zeros(WORDS), np.zeros(WORDS)
-                for w, s in zip(held, share):
-                    (with_ if s >= bar and s > 0 else alone)[sorted(set(w))] += 1
-                self.seen[own] |= with_ > alone
-                self.new[own] = np.clip((sum(not self.seen[own, x] for w in held for x in w) + 1) / (sum(map(len, held)) + 2), 0.01, 0.8)
-
-    def unseen(self, words: list[str], lang: int, *, foreign: float = 0.95, prior: float = 0.02) -> float:
-        """Posterior that the words are of a language without labelled texts, against ``lang``."""
-        new = sum(not self.seen[lang, _word(w)] for w in words)
+        familiar = F.expr("(total - aggregate(often, 0, (a, x) -> a + x)) * 1000000L div total")  # in millionths, so that sums are exact
+        held = read.where("total > 0").select("own", "total", "fresh", "often", familiar.alias("familiar"))
+        of = {r["own"]: r for r in held.groupBy("own").agg(F.avg("familiar").alias("mean"), F.sum("total").alias("total")).collect()}  # a row a language
+        if not of:
+            return
+        bar = F.array(*[F.lit(0.5 * of[i]["mean"] if i in of else 0.0) for i in range(len(self.langs))])[F.col("own")]
+        good = ((F.col("familiar") >= bar) & (F.col("familiar") > 0)).alias("good")
+        each = held.select("own", good, F.explode(F.arrays_zip("fresh", "often")).alias("x"))
+        met = cut(each.groupBy("own", F.col("x.fresh").alias("word")).agg((F.count_if("good") > F.count_if(~F.col("good"))).alias("familiar"), F.sum("x.often").alias("n")), "met")
+        known = met.where("familiar").select("own", "word").toPandas()  # at most labels x WORDS rows
+        self.seen[known.own.to_numpy(np.int64), known.word.to_numpy(np.int64)] = True
+        new = {r["own"]: r["n"] for r in met.where("not familiar").groupBy("own").agg(F.sum("n").alias("n")).collect()}
+        for i, r in of.items():
+            self.new[i] = np.clip((new.get(i, 0) + 1) / (r["total"] + 2), 0.01, 0.8)
+
+    def unseen(self, new: np.ndarray, total: np.ndarray, lang: np.ndarray, *, foreign: float = 0.95, prior: float = 0.02) -> np.ndarray:
+        """Posterior that ``total`` words, of which ``new`` are new, are of a language without labelled texts, against ``lang``."""
         u = self.new[lang]
-        odds = np.log(prior / (1 - prior)) + new * np.log(foreign / u) + (len(words) - new) * np.log((1 - foreign) / (1 - u))
-        return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+        odds = np.log(prior / (1 - prior)) + new * np.log(foreign / u) + (total - new) * np.log((1 - foreign) / (1 - u))
+        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
     def asked(self, prompt: str) -> np.ndarray:
         return self.posterior([w for w in re.findall(r"[^\W\d_]+", plain(prompt)) if not w[:1].isupper() or w.lower() in _ASKING])
@@ -194,17 +218,52 @@ def _sentence_words(q: str, a: str) -> list[str]:
     return [w for i, w in enumerate(words) if bare(w) not in asked and not (w[:1].isupper() and i > 0)]
 
 
-def _other_language(q: str, a: str, model: LanguageModel) -> bool:
+def _language(q: str, a: str, model: LanguageModel) -> tuple[int, bool, int, dict[int, int]]:
+    """The prompt's language (-1: nothing is decided), whether the response is in another labelled one, and of a response of
+    four words on their number and those that labelled texts of the prompt's language lack, with their counts."""
     words = _sentence_words(q, a)
     hangul = [w for w in words if re.search("[가-힣]", w)]
     sentence = len(words) >= 4 or any(CLOSED_KO.search(w) and len(w) >= 3 for w in hangul[-1:]) and len(hangul) >= 2
     if not sentence:
-        return False
+        return -1, False, 0, {}
     asked = model.asked(q)
     if not len(asked) or asked.max() <= 0.9:
-        return False
+        return -1, False, 0, {}
     own, said = int(asked.argmax()), model.posterior(words)
-    return said.max() > 0.98 and said[own] < 0.01 or len(words) >= 4 and model.unseen(words, own) > 0.98
+    other = bool(said.max() > 0.98 and said[own] < 0.01)
+    if len(words) < 4:
+        return own, other, 0, {}
+    return own, other, len(words), Counter(x for x in map(_word, words) if not model.seen[own, x])
+
+
+def _form(q: str | None, a: str | None) -> tuple[str | None, int]:
+    """What the pair alone tells, and the response's number of words: a defect; ``end`` where the ends of other responses
+    decide; ``begin`` where their beginnings do."""
+    content = re.sub(r"[\W_]+", "", LEADS.sub("", plain(a)))
+    if not content or content.casefold() in ("null", "none", "nan") or plain(a).strip().casefold() == "n/a":
+        return "empty", 0
+    if q and _is_copy(q, a):
+        return "copy", 0
+    even = plain(a).replace("’", "'").strip()
+    if REFUSAL.search(even):
+        return "refusal", 0
+    tail = re.sub(r"(\s*(\.\.\.|…))+$", "", even)
+    marked = tail != even
+    if OPEN_ENDS.search(tail):
+        return "truncated", 0
+    n = len(tail.split())
+    if marked or not STOP.search(tail):
+        last = re.sub(r"['\"”’)\]]+$", "", tail)
+        if tail.count("(") > tail.count(")"):
+            return "truncated", n
+        korean = bool(re.search("[가-힣]", last.split()[-1] if last.split() else ""))
+        if korean and CLOSED_KO.search(last) and len(last.split()[-1]) >= 3:
+            return None, n
+        if marked or n >= (3 if korean else 4):  # a sentence, not a bare value
+            return "end", n
+        if not korean:
+            return "begin", n
+    return None, n
 
 
 _SMALL = {"the", "was", "were", "are", "answer", "you", "asked", "question", "thanks", "please", "답변", "질문"}
@@ -244,57 +303,53 @@ def end_likelihood(said: DataFrame, *, strength: float = 2.0, usual: float = 0.1
     return counts, tails.select("rid", p.alias("p_end"))
 
 
-def defects(pairs: DataFrame, labelled: DataFrame, sample: int = 4000) -> DataFrame:
+def defects(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``pairs``: prompt, response and any other columns; adds ``defect`` (null where there is none), in place of a column of that name."""
     pairs = pairs.drop("defect")
     texts = cut(pairs.select("prompt", "response").distinct().withColumn("pid", _pair_id()), "pairs")
-    model = LanguageModel(labelled, sample)
-    model.learn_new(texts.where("prompt is not null and response is not null"), sample)
+    model = LanguageModel(labelled)
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
+    # All pairs are read once in Python: what a pair tells by itself, and its words that labelled texts lack.
+    def one(q: str | None, a: str | None) -> tuple:
+        own, other, total, fresh = _language(q, a, shared.value) if q and a else (-1, False, 0, {})
+        return *_form(q, a), own, other, total, [*fresh], [*fresh.values()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            told = pd.DataFrame([one(*x) for x in zip(b.prompt, b.response)], columns=["form", "n", "own", "other", "total", "fresh", "often"])
+            yield pd.DataFrame({"pid": b.pid, "rid": b.rid}).join(told)
+
+    rid = F.unhex(F.sha2("response", 256)).alias("rid")
+    read = texts.select("pid", rid, "prompt", "response").mapInPandas(run, "pid binary, rid binary, form string, n int, own int, other boolean, total int, fresh array<int>, often array<int>")
+    read = cut(read, "read")
+    model.learn_new(read)
+    learned = pairs.sparkSession.sparkContext.broadcast(model)
+
+    def languages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            new, own = np.zeros(len(b)), b.own.to_numpy(np.int64)
+            at = np.repeat(np.arange(len(b)), [len(x) for x in b.fresh])
+            if len(at):
+                left = ~learned.value.seen[own[at], np.concatenate([*b.fresh])]
+                new = np.bincount(at, left * np.concatenate([*b.often]), len(b))
+            other, judged = b.other.to_numpy(bool), b.total.to_numpy() > 0
+            other[judged] |= learned.value.unseen(new[judged], b.total.to_numpy()[judged], own[judged]) > 0.98
+            yield b[["pid", "rid", "form", "n"]].assign(other=other)
+
+    read = read.mapInPandas(languages, "pid binary, rid binary, form string, n int, other boolean")
+
     # Ends of all distinct responses: whole wordings that end with a stop, last words at an end or inside, and how responses begin.
     said = texts.where(F.col("response").isNotNull()).groupBy("response").agg(F.count("*").alias("times"))
-    said = cut(said.select("response", "times", F.unhex(F.sha2("response", 256)).alias("rid"), (F.col("response").rlike(r"[.!?。]['\"”’)\]]*\s*$") & ~F.col("response").rlike(r"(\.\.\.|…)\s*$")).alias("stopped"), _skeleton(F.col("response")).alias("sk")), "said")
+    said = cut(said.select("times", rid, (F.col("response").rlike(r"[.!?。]['\"”’)\]]*\s*$") & ~F.col("response").rlike(r"(\.\.\.|…)\s*$")).alias("stopped"), _skeleton(F.col("response")).alias("sk")), "said")
     wordings = said.where("stopped").groupBy("sk").agg(F.count("*").alias("wording"))
     _, likely = end_likelihood(said.select("rid", "stopped", F.filter(F.split("sk", " "), lambda w: w != "").alias("w")))
     begun = said.select(F.explode(F.expr("transform(sequence(1, least(3, size(split(sk, ' ')))), i -> struct(concat_ws(' ', slice(split(sk, ' '), 1, i)) as g, i < size(split(sk, ' ')) as on))")).alias("x")).groupBy(F.col("x.g").alias("sk")).agg(F.sum(F.col("x.on").cast("int")).alias("begins"), F.sum((~F.col("x.on")).cast("int")).alias("alone"))
-    known = said.join(wordings, "sk", "left").join(begun, "sk", "left").join(likely, "rid", "left").select("response", "times", "sk", F.coalesce("wording", F.lit(0)).alias("wording"), F.coalesce("begins", F.lit(0)).alias("begins"), F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("p_end", F.lit(0.0)).alias("p_end"))
-    judged = texts.join(known, "response", "left").select("pid", "prompt", "response", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("times", "wording", "begins", "alone")], F.coalesce("p_end", F.lit(0.0)).alias("p_end"), F.coalesce("sk", F.lit("")).alias("sk"))
-
-    def one(q: str | None, a: str | None, times: int, wording: int, begins: int, alone: int, p_end: float, sk: str) -> str | None:
-        content = re.sub(r"[\W_]+", "", LEADS.sub("", plain(a)))
-        if not content or content.casefold() in ("null", "none", "nan") or plain(a).strip().casefold() == "n/a":
-            return "empty"
-        if q and _is_copy(q, a):
-            return "copy"
-        even = plain(a).replace("’", "'").strip()
-        if REFUSAL.search(even):
-            return "refusal"
-        tail = re.sub(r"(\s*(\.\.\.|…))+$", "", even)
-        marked = tail != even
-        if OPEN_ENDS.search(tail):
-            return "truncated"
-        if marked or not STOP.search(tail):
-            last, n = re.sub(r"['\"”’)\]]+$", "", tail), len(tail.split())
-            if tail.count("(") > tail.count(")"):
-                return "truncated"
-            korean = bool(re.search("[가-힣]", last.split()[-1] if last.split() else ""))
-            if korean and CLOSED_KO.search(last) and len(last.split()[-1]) >= 3:
-                pass
-            elif marked or n >= (3 if korean else 4):  # a sentence, not a bare value
-                if not wording and p_end < 0.5 and not (n <= 4 and times >= 4):
-                    return "truncated"
-            elif not korean and begins > alone and set(sk.split()) - {"N", "0"}:
-                return "truncated"
-        if q and _other_language(q, a, shared.value):
-            return "other_language"
-        return None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [one(*x) for x in zip(b.prompt, b.response, b.times, b.wording, b.begins, b.alone, b.p_end, b.sk)]
-            yield pd.DataFrame({"pid": b.pid, "defect": found})
+    worded = F.size(F.array_except(F.split("sk", r"[\s\p{Z}\x1c-\x1f\x85]+"), F.array(F.lit("N"), F.lit("0"), F.lit("")))) > 0
+    known = said.join(wordings, "sk", "left").join(begun, "sk", "left").join(likely, "rid", "left")
+    known = known.select("rid", "times", worded.alias("worded"), F.coalesce("wording", F.lit(0)).alias("wording"), (F.coalesce("begins", F.lit(0)) > F.coalesce("alone", F.lit(0))).alias("begun"), F.coalesce("p_end", F.lit(0.0)).alias("p_end"))
 
-    found = judged.mapInPandas(run, "pid binary, defect string")
-    found = found.withColumnRenamed("pid", "_tw_found")
+    broken = F.expr("form = 'end' and wording = 0 and p_end < 0.5 and not (n <= 4 and times >= 4) or form = 'begin' and begun and worded")
+    defect = F.when(F.col("form").isin("empty", "copy", "refusal", "truncated"), F.col("form")).when(broken, "truncated").when(F.col("other"), "other_language")
+    found = read.join(known, "rid", "left").select(F.col("pid").alias("_tw_found"), defect.alias("defect"))
     return pairs.withColumn("_tw_pair", _pair_id()).join(found, F.col("_tw_pair") == F.col("_tw_found"), "left").drop("_tw_pair", "_tw_found")
