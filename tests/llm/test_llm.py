@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ from tidewell.llm.groups import assign_splits, components, named_entities, recor
 from tidewell.llm.mixing import apportion_shards, mix, sainte_lague
 from tidewell.llm.packing import best_fit, pack
 from tidewell.llm.pages import distinct_texts, page_rows
-from tidewell.llm.pairs import BUCKETS, PER, LanguageModel, _counted, _grams, _word, defects
+from tidewell.llm.pairs import BUCKETS, PER, LanguageModel, _counted, _form, _grams, _is_copy, _word, bare, defects, end_likelihood, plain
 from tidewell.llm.residue import residue_docs
 from tidewell.llm.tokens import with_tokens
 from tidewell.llm.truncation import truncated
@@ -260,6 +261,56 @@ def test_language_counts_in_partial_sums():
     assert of["en", -1] == 40 and of["en", BUCKETS + _word("mill")] == 40 and of["en", BUCKETS + _word("old")] == 20 and ("en", BUCKETS + _word("ralo")) not in of
 
 
+def test_ends_of_responses_are_counted_in_one_pass(spark):
+    df = spark.createDataFrame([("how many people lived in Ralo", "the register gives the number of people in the")], "prompt string, response string")
+    leaves = defects(df, spark.createDataFrame([("en", "how many people lived in the town")], "lang string, text string"))._jdf.queryExecution().optimizedPlan().collectLeaves()
+    paths = [leaf.relation().location().rootPaths().mkString() for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.nodeName().startswith("LogicalRelation")]
+    assert sum("/said-" in p for p in paths) == 2  # the runs of words, and the wordings with how responses begin
+
+
+def test_end_likelihood_against_brute_force(spark):
+    rng = random.Random(5)
+    said = [(i, rng.random() < 0.6, [rng.choice("abc") for _ in range(rng.randint(0, 6))]) for i in range(300)]
+    asked = said[:80]
+    ends, goes = Counter(), Counter()
+    for _, stopped, e in said:
+        for k in (1, 2, 3):
+            for i in range(k, len(e) + 1):
+                (ends if i == len(e) else goes)[tuple(e[i - k : i])] += stopped if i == len(e) else 1
+    want = {}
+    for i, _, e in asked:
+        p = 0.1
+        for k in (1, 2, 3):
+            g = tuple(e[-k:]) if k <= len(e) else None
+            p = (ends[g] + 2.0 * p) / (ends[g] + goes[g] + 2.0)
+        if e:
+            want[i] = p
+    of = spark.createDataFrame(said, "rid long, stopped boolean, e array<string>")
+    got = {r.rid: r.p_end for r in end_likelihood(of, of.where("rid < 80")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_short_ways_through_pairs_change_nothing():
+    threes = lambda s: {s[i : i + 3] for i in range(max(1, len(s) - 2))} if s else set()
+    rng = random.Random(7)
+    q = "how many people lived in the old town near the river"
+    for _ in range(2000):
+        a = "".join(rng.choice("abx ") if rng.random() < rng.choice((0.02, 0.08)) else c for c in q)[: rng.randint(30, 60)]
+        x, y = threes(q), threes(" ".join(a.split()))
+        asked = len(y) <= len(x) / 0.8 and len(y) >= 0.7 * len(x) and len(x & y) >= max(0.8 * len(y), 0.7 * len(x))
+        assert not _is_copy(q, a) or asked
+        assert _is_copy(q, a) or not asked or set(a.split()) - set(q.split())
+    texts = ["ı can't say", "İ CANNOT say", "We don't know", "It is NOT possible to tell", "No answer can be given", "insufficient context", "I am not able to", "알 수 없습니다", "답변하기 어렵네요", "모르겠어요", "정보가 부족했습니다", "the cable is able", "The mill, dr.", "see no.", "mr.", "ﬁne\u200bly <b>old</b> &amp; caf\u00e9", "n/a", "NULL", "_-_", "Answer: none", "ends here…", "ends here ...", "(as said"]
+    assert [_form(None, t)[0] for t in texts] == ["refusal"] * 11 + ["end", "truncated", "truncated", "truncated", "end", "empty", "empty", "empty", "empty", "end", "end", "truncated"]
+    assert bare("Ca\u0301fe İ 강의 ﬁ") == "cafe i 강의 fi" and plain("a<b>c</b> &lt;d&gt;\u200b") == "a c   "
+    spaces = pd.DataFrame({"lang": "en", "text": ["old\x1cmill\x85of\u2028the\u3000river town", " old \n", "", "12 - don't ﬁne-old Ralo 마을에는"]})
+    got = pd.concat(_counted(iter([spaces]))).set_index("gram").n.to_dict()
+    want = Counter({-1: 4})
+    for t in spaces.text:
+        want.update(BUCKETS + b for b in {_word(w) for x in t.split() if not x[:1].isupper() for w in re.findall(r"[^\W\d_]+", x)})
+        want.update(g for x in t.split() if not x[:1].isupper() for g in _grams(x))
+    assert got == dict(want)
+
 # --- 5: groups ---------------------------------------------------------------------------------------------------
 
 

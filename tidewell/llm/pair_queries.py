@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.pairs import defects
 from tidewell.operators.skew import hot_keys, salted_join
-from tidewell.session import table
+from tidewell.session import cut, table
 
 
 def _language(lang):
@@ -21,7 +21,7 @@ def answer_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(_language(F.col("lang")).alias("lang"), "text")
     labelled = docs.unionByName(queries.select(_language(F.col("language")).alias("lang"), F.col("query").alias("text"))).where("lang is not null and text is not null")
     asked = asked.withColumnRenamed("sha", "q_sha")
-    return defects(salted_join(answers, asked, "q_sha", hot_keys(answers, "q_sha"), F.col("ctx_sha"), how="left"), labelled)
+    return defects(cut(salted_join(answers, asked, "q_sha", hot_keys(answers, "q_sha"), F.col("ctx_sha"), how="left"), "asked"), labelled)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
